@@ -21,29 +21,50 @@ def _letters(words: list[str]) -> np.ndarray:
     return out
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """Characters as numbers, one row per word, filled up with 0."""
+    out = np.zeros((len(words), max(map(len, words), default=0)), dtype=np.int32)
+    for row, word in enumerate(words):
+        out[row, : len(word)] = [ord(c) for c in word]
+    return out
+
+
+def _common_subsequence(codes: np.ndarray, query: str) -> np.ndarray:
+    """Length of the longest common subsequence of the query with every row."""
+    best = np.zeros((codes.shape[0], codes.shape[1] + 1), dtype=np.int16)
+    for c in query:
+        step = np.maximum(best[:, 1:], best[:, :-1] + (codes == ord(c)))
+        best[:, 1:] = np.maximum.accumulate(step, axis=1)
+    return best[:, -1]
+
+
 def nearest_in_block(queries: pd.DataFrame, names: list[str], k: int, cutoff: float) -> pd.DataFrame:
     """The ``k`` best names of one block for each query.
 
-    Names are visited by an upper bound of the ratio (letters in common), so the
-    search stops as soon as no later name can enter the best ``k``: nothing that
+    The ratio counts matching runs in order, so it is at most that of the letters in
+    common, and of the longest common subsequence. Names are visited by that bound,
+    and the search stops when no later name can enter the best ``k``: nothing that
     belongs to the result is skipped.
     """
     letters, lengths = _letters(names), np.fromiter((len(n) for n in names), dtype=np.int64)
+    codes = _codes(names)
     rows = []
     for query_id, query in zip(queries["query_id"], queries["query"]):
+        total = np.maximum(lengths + len(query), 1)
         common = np.minimum(letters, _letters([query])[0]).sum(axis=1, dtype=np.int64)
-        bound = 2.0 * common / np.maximum(lengths + len(query), 1)
-        eligible = np.flatnonzero(bound >= cutoff)
+        eligible = np.flatnonzero(2.0 * common / total >= cutoff)
+        bound = 2.0 * _common_subsequence(codes[eligible], query) / total[eligible]
         matcher = difflib.SequenceMatcher()
         matcher.set_seq2(query)
         best: list[tuple[float, str]] = []
-        for i in eligible[np.argsort(-bound[eligible], kind="stable")]:
-            if len(best) == k and bound[i] < best[0][0]:
+        for at in np.argsort(-bound, kind="stable"):
+            if bound[at] < cutoff or (len(best) == k and bound[at] < best[0][0]):
                 break
-            matcher.set_seq1(names[i])
+            name = names[eligible[at]]
+            matcher.set_seq1(name)
             ratio = matcher.ratio()
             if ratio >= cutoff:
-                (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (ratio, names[i]))
+                (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (ratio, name))
         for ratio, name in best:
             score = difflib.SequenceMatcher(None, query.lower(), name.lower()).ratio()
             rows.append((query_id, query, name, ratio, score))
@@ -67,19 +88,21 @@ def nearest_names(
     parallel = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = queries.schema["query_id"].dataType.simpleString()
 
-    def blocks(df: DataFrame, size: int, least: int):
-        return df.agg(F.greatest(F.lit(least), F.ceil(F.count("*") / F.lit(size))).cast("int")).scalar()
-
-    n_rows, n_cols = blocks(names, names_per_block, parallel), blocks(queries, queries_per_block, 1)
+    # Name blocks as large as allowed, since a larger block is cut off earlier; the
+    # queries are then dealt out finely enough to keep all tasks busy.
+    rows = F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(names_per_block))).cast("bigint")
+    n_rows = names.agg(rows).scalar()
+    cols = F.greatest(F.ceil(F.count("*") / F.lit(queries_per_block)), F.ceil(F.lit(2 * parallel) / n_rows)).cast("bigint")
+    n_cols = queries.select("query_id").agg(cols).scalar()
     left = (
         names.select("name")
         .withColumn("bi", F.pmod(F.xxhash64("name"), n_rows))
-        .withColumn("bj", F.explode(F.sequence(F.lit(0), n_cols - 1)).cast("bigint"))
+        .withColumn("bj", F.explode(F.sequence(F.lit(0).cast("bigint"), n_cols - 1)))
     )
     right = (
         queries.select("query_id", "query")
         .withColumn("bj", F.pmod(F.xxhash64("query_id"), n_cols))
-        .withColumn("bi", F.explode(F.sequence(F.lit(0), n_rows - 1)).cast("bigint"))
+        .withColumn("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), n_rows - 1)))
     )
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

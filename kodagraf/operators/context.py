@@ -16,6 +16,7 @@ from kodagraf.operators import budget, graph
 from kodagraf.operators.lookup import lookup_exact, units_of_file
 from kodagraf.operators.search import search
 from kodagraf.params import BUILD_QUERY_CHARS, BuildConfig
+from kodagraf.runtime import cut
 
 FOCAL_LIMIT = 10
 
@@ -169,7 +170,8 @@ def bundle_files(rows: DataFrame) -> DataFrame:
 
 def context_lines(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """The rendered context in pieces: (query_id, part, sort_key, text); reading them in order gives the text."""
-    header = bundle_header(queries, rows)
+    rows = cut(rows, "bundle")  # read by each of the parts below
+    header = cut(bundle_header(queries, rows), "bundle")
     span = F.concat("start_line", F.lit("-"), "end_line")
     focal = rows.filter("section = 'focal'").select(
         "query_id", F.lit(3).alias("part"), F.format_string("%010d", "position").alias("sort_key"),
@@ -238,7 +240,7 @@ def build_context(
     units: DataFrame, edges: DataFrame, queries: DataFrame, config: BuildConfig = BuildConfig(), fuzzy: bool = True
 ) -> DataFrame:
     """The bundle rows of every request (query_id, query)."""
-    return bundle(units, edges, resolve_requests(units, queries, fuzzy=fuzzy), config)
+    return bundle(units, edges, cut(resolve_requests(units, queries, fuzzy=fuzzy), "focal"), config)
 
 
 def context_for_symbols(
@@ -247,7 +249,7 @@ def context_for_symbols(
     """(query_id, name) -> bundles around one symbol each."""
     resolved = resolve_names(units, requests.select("name"), fuzzy)
     focal = requests.join(resolved, "name").select("query_id", "unit_id", F.lit(1).alias("position"))
-    return bundle(units, edges, focal, config)
+    return bundle(units, edges, cut(focal, "focal"), config)
 
 
 def context_for_file(

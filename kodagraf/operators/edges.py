@@ -75,7 +75,7 @@ def call_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> Dat
 
     odd = targets.filter(~plain).withColumn("word", F.regexp_extract("name", r"(?U)(\w+)", 1))
     all_words = src.withColumn("word", F.explode(_runs(F.col("text"), r"(\w+)")))
-    odd_found = all_words.join(odd, "word").filter(F.col("text").rlike(call_regex(F.col("name"))))
+    odd_found = all_words.join(odd, "word").filter(F.rlike(F.col("text"), call_regex(F.col("name"))))
 
     both = found.select("source_id", "source_file", "target_id", "target_file").unionByName(
         odd_found.select("source_id", "source_file", "target_id", "target_file")
@@ -105,7 +105,7 @@ def implement_edges(units: DataFrame, scope: str = "repo", text: str = "body") -
     exact = F.concat(
         F.lit(r"(?U)(?:class\s+\w+\s*\([^)]*\b"), name, F.lit(r"\b|(?:implements|extends)\s+"), name, F.lit(r"\b)")
     )
-    found = words.join(targets, "name").filter(F.col("text").rlike(exact))
+    found = words.join(targets, "name").filter(F.rlike(F.col("text"), exact))
     if scope == "file":
         found = found.filter("source_file = target_file")
     return _edges(found, "IMPLEMENTS").distinct()

@@ -68,7 +68,7 @@ def lookup_prefix(units: DataFrame, requests: DataFrame) -> DataFrame:
     wanted = requests.filter(F.length("prefix") > 0).withColumn("_p", F.lower("prefix"))
     u = named(units).withColumn("_n", F.lower("name"))
     lengths = wanted.agg(F.collect_set(F.length("_p"))).scalar()
-    cuts = u.withColumn("_len", F.explode(F.filter(lengths, lambda n: n <= F.length("_n"))))
+    cuts = u.withColumn("_len", F.explode(F.array_intersect(F.sequence(F.lit(1), F.length("_n")), lengths)))
     cuts = cuts.withColumn("_p", F.substring(F.col("_n"), F.lit(1), F.col("_len")))
     return wanted.join(cuts, "_p").drop("_p", "_n", "_len")
 

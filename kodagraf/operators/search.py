@@ -10,6 +10,7 @@ from kodagraf.functions.fuzzy import nearest_names
 from kodagraf.functions.ids import parent_dir
 from kodagraf.operators.lookup import UNIT_ORDER, _first, _unpack, distinct_names, named
 from kodagraf.params import SEARCH_LIMIT, within
+from kodagraf.runtime import cut
 from kodagraf.schema import SLIM_COLS
 
 
@@ -18,7 +19,7 @@ def exact_and_prefix(queries: DataFrame, names: DataFrame) -> DataFrame:
     q = queries.select("query_id", "query").filter(F.length("query") > 0).withColumn("_q", F.lower("query"))
     n = names.withColumn("_n", F.lower("name"))
     lengths = q.agg(F.collect_set(F.length("_q"))).scalar()
-    cuts = n.withColumn("_len", F.explode(F.filter(lengths, lambda x: x <= F.length("_n"))))
+    cuts = n.withColumn("_len", F.explode(F.array_intersect(F.sequence(F.lit(1), F.length("_n")), lengths)))
     cuts = cuts.withColumn("_q", F.substring(F.col("_n"), F.lit(1), F.col("_len")))
     equal = F.col("_len") == F.length("_n")
     score = F.when(equal, F.lit(scoring.EXACT)).otherwise(scoring.prefix_score(F.col("query"), F.col("name")))
@@ -29,7 +30,7 @@ def exact_and_prefix(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 def ranked_names(units: DataFrame, queries: DataFrame, limit: int = 10, fuzzy: bool = True) -> DataFrame:
     """(query_id, query, name, score, tier, rank): the best ``limit`` names of each query."""
-    names = distinct_names(units)
+    names = cut(distinct_names(units), "names") if fuzzy else distinct_names(units)
     hits = exact_and_prefix(queries, names).withColumn("pos", F.lit(0))
     if fuzzy:
         found = hits.groupBy("query_id").agg(F.count("*").alias("_n"))
@@ -39,7 +40,7 @@ def ranked_names(units: DataFrame, queries: DataFrame, limit: int = 10, fuzzy: b
             .join(found, "query_id", "left")
             .filter(F.coalesce("_n", F.lit(0)) < limit)
         )
-        near = nearest_names(short, names, k=2 * limit, cutoff=scoring.FUZZY)
+        near = nearest_names(cut(short, "short"), names, k=2 * limit, cutoff=scoring.FUZZY)
         near = near.filter(~F.startswith(F.lower("name"), F.lower("query")) & (F.col("score") >= scoring.FUZZY))
         hits = hits.unionByName(
             near.select("query_id", "query", "name", "score", F.lit(2).alias("tier"), F.col("rank").alias("pos"))

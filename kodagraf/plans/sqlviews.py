@@ -54,7 +54,7 @@ top AS (
 LEDGER = """
 l0 AS (
   SELECT 'lib/nations.py' AS file_path, 'INation_' || n_nationkey AS name, 'INTERFACE' AS unit_kind, 1 + n_nationkey * 4 AS start_line,
-         NULL AS okey, NULL AS ckey, n_nationkey AS nkey FROM nation
+         CAST(NULL AS BIGINT) AS okey, CAST(NULL AS BIGINT) AS ckey, CAST(n_nationkey AS BIGINT) AS nkey FROM nation
   UNION ALL
   SELECT 'lib/c' || (c_custkey // 64) || '/m' || (c_custkey // 16) || '.ts', 'Cust_' || c_custkey, 'CLASS', 1 + (c_custkey % 16) * 5,
          NULL, c_custkey, c_nationkey FROM customer

@@ -41,8 +41,9 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     if sorted(cols) != sorted(df.columns):
         return False, f"{note} columns {sorted(df.columns)} / {sorted(cols)}"
     if repr(got) != repr(want):
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        got_set, want_set = {repr(r) for r in got}, {repr(r) for r in want}
+        only_got = [r for r in got if repr(r) not in want_set][:3]
+        only_want = [r for r in want if repr(r) not in got_set][:3]
         return False, f"{note}\n   spark only {only_got}\n   sql only   {only_want}"
     return True, note
 
