@@ -34,7 +34,8 @@ def _pieces(run: Column) -> Column:
 
 def _suffixes(run: Column) -> Column:
     p = _pieces(run)
-    return F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ""))
+    parts = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ""))
+    return F.when(run.rlike("[.$]"), parts).otherwise(F.array(run))
 
 
 def _prefixes(run: Column) -> Column:
@@ -73,13 +74,12 @@ def call_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> Dat
     words = src.select("source_id", "source_file", F.explode(F.array_distinct(heads)).alias("name"))
     found = words.join(targets.filter(plain), "name")
 
+    both = found.select("source_id", "source_file", "target_id", "target_file")
     odd = targets.filter(~plain).withColumn("word", F.regexp_extract("name", r"(?U)(\w+)", 1))
-    all_words = src.withColumn("word", F.explode(_runs(F.col("text"), r"(\w+)")))
-    odd_found = all_words.join(odd, "word").filter(F.rlike(F.col("text"), call_regex(F.col("name"))))
-
-    both = found.select("source_id", "source_file", "target_id", "target_file").unionByName(
-        odd_found.select("source_id", "source_file", "target_id", "target_file")
-    )
+    if not odd.isEmpty():
+        all_words = src.withColumn("word", F.explode(_runs(F.col("text"), r"(\w+)")))
+        odd_found = all_words.join(odd, "word").filter(F.rlike(F.col("text"), call_regex(F.col("name"))))
+        both = both.unionByName(odd_found.select(*both.columns))
     both = both.filter("source_id <> target_id")
     if scope == "file":
         both = both.filter("source_file = target_file")

@@ -156,13 +156,15 @@ def triangles(hop: DataFrame) -> DataFrame:
             F.when(low_x, F.col("y")).otherwise(F.col("x")).alias("b"),
             F.when(low_x, F.col("xy")).otherwise(F.col("yx")).alias("fwd"),
             F.when(low_x, F.col("yx")).otherwise(F.col("xy")).alias("bwd"),
+            F.when(low_x, F.col("dy")).otherwise(F.col("dx")).alias("deg"),
         ),
         "cycles",
     )
-    ab = turned.select("a", "b", F.col("fwd").alias("ab"), F.col("bwd").alias("ba"))
-    ac = turned.select("a", F.col("b").alias("c"), F.col("fwd").alias("ac"), F.col("bwd").alias("ca"))
+    ab = turned.select("a", "b", F.col("fwd").alias("ab"), F.col("bwd").alias("ba"), F.col("deg").alias("db"))
+    ac = turned.select("a", F.col("b").alias("c"), F.col("fwd").alias("ac"), F.col("bwd").alias("ca"), F.col("deg").alias("dc"))
     bc = turned.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("fwd").alias("bc"), F.col("bwd").alias("cb"))
-    corner = ab.join(ac, "a").filter("b <> c").join(bc, ["b", "c"])
+    # Only corners that can close, with b before c as the third side has them.
+    corner = ab.join(ac, "a").filter("(db < dc OR (db = dc AND b < c)) AND ((ab AND ca) OR (ac AND ba))").join(bc, ["b", "c"])
     round_trip = F.array_compact(
         F.array(
             F.when(F.expr("ab AND bc AND ca"), F.array("a", "b", "c")),

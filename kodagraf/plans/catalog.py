@@ -953,7 +953,7 @@ QUERY_SYMBOLS = f"""found AS (
 
 
 def user_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "conversations").filter("role = 'user'")
+    return tables.spread(tables.table(spark, sf, "conversations").filter("role = 'user'"))
 
 
 @register(

@@ -86,6 +86,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table dealt out to all cores when it has fewer files than there are cores.
+
+    Only for work that is heavy per row, such as reading text. A table of many files
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 @dataclass(frozen=True)
 class Repo:
     """The two big tables of one repository."""
@@ -120,7 +130,8 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {n: table(spark, sf_dir, n) for n in ("nation", "customer", "orders")}
+    tables = {n: table(spark, sf_dir, n) for n in ("nation", "customer")}
+    tables["orders"] = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     units = spark.sql(LEDGER_UNITS, **tables)
     return units.select(
         "id", "unit_kind", "file_path", "name",
