@@ -64,12 +64,13 @@ def _edges(df: DataFrame, kind: str) -> DataFrame:
 def call_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> DataFrame:
     """CALLS: the text of a unit has ``name(`` for the full name of another unit.
 
-    ``scope="file"`` looks for callees in the same file only. Names outside
-    ``[\\w.$]`` are found by their first word instead of by their whole.
+    ``scope="file"`` looks for callees in the same file only. Names with
+    other characters than ``\\w.$``, or that do not start with a word, are found by their
+    first word and then tested.
     """
     src = units.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_file"), F.col(text).alias("text"))
     targets = _targets(units)
-    plain = F.col("name").rlike(rf"(?U)^{RUN}$")
+    plain = F.col("name").rlike(r"(?U)^\w[\w.$]*$")
     heads = F.flatten(F.transform(_runs(F.col("text"), rf"({RUN})\s*\("), _suffixes))
     words = src.select("source_id", "source_file", F.explode(F.array_distinct(heads)).alias("name"))
     found = words.join(targets.filter(plain), "name")

@@ -31,6 +31,10 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     df = entry.queries()[name](spark, sf_dir)
     got = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    flags = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
+    if flags:
+        print("    plan of", name, "has", *flags)
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return True, f"rows={len(got)} spark={t1 - t0:.1f}s (no SQL)"
