@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -332,32 +331,32 @@ def layers(edges: DataFrame) -> DataFrame:
 
 
 def dfs_preorder(edges: DataFrame, starts: DataFrame, max_depth: int = 2, edge_types: list[str] | None = None) -> DataFrame:
-    """(query_id, node_id, depth, position): depth-first, neighbours in id order.
+    """(query_id, node_id, depth, path): depth-first, neighbours in id order; sorting by ``path`` gives the preorder.
 
     A node first met at the depth limit is not entered again from a shallower one, so
-    the result can be smaller than that of a breadth-first search. The order depends
-    on everything before it and is found per request, over the edges within reach,
-    which are collected for that request only.
+    the result can be smaller than that of a breadth-first search.
+
+    Depth-first order is the order of tree paths, and the path of a node is the least
+    among the paths of its entered predecessors, each extended by the node. That is
+    computed for all nodes at once and repeated until nothing changes: a path rests on
+    smaller paths only, so the end state is the one the step-by-step search reaches.
     """
-    reach = cut(bfs(edges, starts, max(max_depth - 1, 0), edge_types, include_start=True), "dfs")
     hop = pairs(edges, edge_types).withColumnRenamed("src", "node_id")
-    near = starts.join(reach.select("query_id", "node_id"), "query_id").join(hop, "node_id", "left")
-    id_type = starts.schema["query_id"].dataType.simpleString()
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        query_id, start = group["query_id"].iloc[0], group["start_id"].iloc[0]
-        targets = group.dropna(subset=["dst"]).sort_values("dst").groupby("node_id")["dst"].agg(list).to_dict()
-        order, seen = [], set()
-        stack = [(start, 0)]
-        while stack:
-            node, depth = stack.pop()
-            if node in seen:
-                continue
-            seen.add(node)
-            order.append((query_id, node, depth, len(order)))
-            if depth < max_depth:
-                stack.extend((t, depth + 1) for t in reversed(targets.get(node, [])) if t not in seen)
-        return pd.DataFrame(order, columns=["query_id", "node_id", "depth", "position"])
-
-    schema = f"query_id {id_type}, node_id string, depth int, position int"
-    return near.select("query_id", "start_id", "node_id", "dst").groupBy("query_id").applyInPandas(walk, schema)
+    if max_depth > 0:
+        near = bfs(edges, starts, max_depth - 1, edge_types, include_start=True).select("node_id").distinct()
+        hop = cut(hop.join(near, "node_id", "left_semi"), "dfs-edges")
+    begin = starts.select("query_id", F.col("start_id").alias("node_id"), F.array("start_id").alias("path")).distinct()
+    labels = cut(begin, "dfs")
+    while True:
+        entered = labels.filter(F.size("path") <= max_depth)
+        steps = entered.join(hop, "node_id").select(
+            "query_id", F.col("dst").alias("node_id"), F.array_append("path", F.col("dst")).alias("path")
+        )
+        best = begin.unionByName(steps).groupBy("query_id", "node_id").agg(F.min("path").alias("path"))
+        after = cut(best, "dfs")
+        moved = after.join(labels, ["query_id", "node_id", "path"], "left_anti").isEmpty()
+        gone = moved and labels.join(after, ["query_id", "node_id", "path"], "left_anti").isEmpty()
+        drop_cut(labels)
+        labels = after
+        if moved and gone:
+            return labels.select("query_id", "node_id", (F.size("path") - 1).alias("depth"), "path")

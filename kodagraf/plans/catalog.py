@@ -340,7 +340,8 @@ def _(spark, sf):
 
 @register("dfs_preorder")
 def _(spark, sf):
-    return graph.dfs_preorder(part_edges(spark, sf), starts(spark, sf), 2)
+    order = graph.dfs_preorder(part_edges(spark, sf), starts(spark, sf), 2)
+    return order.select("query_id", "node_id", "depth", F.array_join("path", " > ").alias("path"))
 
 
 PATH_STEP = """f{i} AS MATERIALIZED (SELECT query_id, dst AS node_id, to_id, min(list_append(path, dst)) AS path FROM f{j} JOIN hop ON src = node_id

@@ -30,7 +30,7 @@ def test_bfs_depths(spark, make_edges):
 
 def test_dfs_meets_a_node_at_the_limit_only_once(spark, make_edges):
     e = make_edges([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")])
-    assert [r.node_id for r in graph.dfs_preorder(e, requests(spark, "a"), 2).orderBy("position").collect()] == ["a", "b", "c"]
+    assert [r.node_id for r in graph.dfs_preorder(e, requests(spark, "a"), 2).orderBy("path").collect()] == ["a", "b", "c"]
 
 
 def test_dfs_equals_recursion(spark, make_edges):
@@ -54,7 +54,7 @@ def test_dfs_equals_recursion(spark, make_edges):
         return order
 
     starts = ["n1", "n4", "n9"]
-    rows = graph.dfs_preorder(make_edges(pairs), requests(spark, *starts), 3).orderBy("query_id", "position").collect()
+    rows = graph.dfs_preorder(make_edges(pairs), requests(spark, *starts), 3).orderBy("query_id", "path").collect()
     for i, s in enumerate(starts):
         assert [r.node_id for r in rows if r.query_id == i] == recursive(s, 3)
 
