@@ -269,7 +269,6 @@ def expand_dependencies(units: DataFrame, edges: DataFrame, requests: DataFrame,
     """(query_id, name) -> every dependency within ``depth``, also those without a unit (kind and file ``unknown``, line 0)."""
     starts = lookup_exact(units, requests).select("query_id", F.col("id").alias("start_id"))
     reached = graph.dependencies(edges, starts, depth).withColumnRenamed("node_id", "id")
-    reached = reached.join(starts.withColumnRenamed("start_id", "id"), ["query_id", "id"], "left_anti")
     info = reached.join(units.select("id", "unit_kind", "file_path", "start_line"), "id", "left")
     return info.select(
         "query_id",

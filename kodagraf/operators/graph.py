@@ -39,6 +39,7 @@ def bfs(
     begin = starts.select("query_id", F.col("start_id").alias("node_id"), F.lit(0).alias("depth")).distinct()
     if max_depth < 0:
         return begin.filter(F.lit(False))
+    begin = cut(begin, "bfs")  # every level reads it
     # Duplicate edges cost nothing here: the distinct after the join removes what they add.
     step_edges = edges if edge_types is None else edges.filter(F.col("edge_type").isin(edge_types))
     src, dst = ("target_id", "source_id") if reverse else ("source_id", "target_id")

@@ -338,7 +338,15 @@ def _(spark, sf):
     return graph.dependency_tree(part_edges(spark, sf), starts(spark, sf), 2)
 
 
-@register("dfs_preorder")
+DFS_STEP = """d{i} AS MATERIALIZED (SELECT query_id, node_id, min(path) AS path FROM (SELECT * FROM d0 UNION ALL
+  SELECT query_id, dst, list_append(path, dst) FROM d{j} JOIN hop ON src = node_id WHERE len(path) <= 2) GROUP BY ALL)"""
+
+
+@register(
+    "dfs_preorder",
+    f"""{PET}, {TOP_STARTS}, d0 AS (SELECT query_id, start_id AS node_id, [start_id] AS path FROM starts), {", ".join(DFS_STEP.format(i=i, j=i - 1) for i in range(1, 15))}
+    SELECT query_id, node_id, CAST(len(path) - 1 AS BIGINT) AS depth, array_to_string(path, ' > ') AS path FROM d14""",
+)
 def _(spark, sf):
     order = graph.dfs_preorder(part_edges(spark, sf), starts(spark, sf), 2)
     return order.select("query_id", "node_id", "depth", F.array_join("path", " > ").alias("path"))
@@ -930,9 +938,13 @@ def _(spark, sf):
     return skeleton.source_skeletons(order_files(spark, sf)).select("path", "skeleton")
 
 
-@register("skeleton_braces")
+@register(
+    "skeleton_braces",
+    f"""{L} SELECT file_path AS path, 'typescript' AS language, string_agg('export class ' || name || ' {{' || chr(10) || '  run(a) {{' || chr(10) || '    ...' || chr(10) || '}}', chr(10) ORDER BY start_line) AS skeleton
+    FROM lunits WHERE unit_kind = 'CLASS' GROUP BY file_path""",
+)
 def _(spark, sf):
-    text = F.concat("signature", F.lit(" "), "body")
+    text = F.concat("signature", F.lit(" {\n  run(a) {\n    "), "body", F.lit("\n  }\n}"))
     rows = F.array_sort(F.collect_list(F.struct("start_line", text.alias("text"))))
     files = ledger(spark, sf).filter("unit_kind = 'CLASS'").groupBy(F.col("file_path").alias("path"), "language").agg(
         F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("content")
