@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,32 +21,52 @@ def watched(changes: DataFrame, ignore: list[str]) -> DataFrame:
     return changes.filter(~F.col("is_directory") & kept)
 
 
-def _representative(final_state: bool):
+def _burst_sums() -> list[Column]:
+    """What a burst is judged by: its last change, creation and deletion, and its size."""
+    at = F.struct("ts", "change_type")
+    return [
+        F.max(at).alias("_last"),
+        F.max(F.when(F.col("change_type") == "created", at)).alias("_created"),
+        F.max(F.when(F.col("change_type") == "deleted", at)).alias("_deleted"),
+        F.count("*").alias("n_events"),
+    ]
+
+
+def _representatives(bursts: DataFrame, final_state: bool) -> DataFrame:
     """The last change of a burst; if it has both a creation and a deletion, the last creation.
 
     ``final_state`` takes the last change always. Of equal times the change type that
     sorts last is taken, so that the result does not depend on arrival.
     """
-    at = F.struct("ts", "change_type")
-    last = F.max(at)
-    created = F.max(F.when(F.col("change_type") == "created", at))
-    deleted = F.max(F.when(F.col("change_type") == "deleted", at))
-    return [last.alias("_last"), created.alias("_created"), deleted.alias("_deleted"), F.lit(final_state).alias("_final")]
+    pick = F.col("_last")
+    if not final_state:
+        pick = F.when(F.col("_deleted").isNotNull() & F.col("_created").isNotNull(), F.col("_created")).otherwise(pick)
+    return bursts.withColumn("_p", pick).select("path", F.col("_p.change_type").alias("change_type"), F.col("_p.ts").alias("ts"), "n_events")
 
 
 def debounce(changes: DataFrame, gap: str = GAP, final_state: bool = False) -> DataFrame:
     """(path, change_type, ts) -> one change per path and burst; bursts are more than ``gap`` apart.
 
-    Works on a batch and on a stream with a watermark. A session window sums the
-    events of a path as they come; none are collected.
+    On a stream (with a watermark) this is a session window. On a batch the changes of a
+    path are first summed in cells as long as the gap, which always belong to one burst:
+    before the shuffle a path shrinks to a row per cell, however many changes it has.
     """
-    grouped = changes.groupBy("path", F.session_window("ts", gap).alias("_w")).agg(
-        *_representative(final_state), F.count("*").alias("n_events")
+    if changes.isStreaming:
+        windows = changes.groupBy("path", F.session_window("ts", gap).alias("_w")).agg(*_burst_sums())
+        return _representatives(windows, final_state)
+    width = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {gap})")
+    at = F.unix_micros("ts")
+    cells = changes.groupBy("path", F.floor(at / width).alias("_cell")).agg(
+        *_burst_sums(), F.min(at).alias("_from"), F.max(at).alias("_to")
     )
-    pick = F.when(~F.col("_final") & F.col("_deleted").isNotNull() & F.col("_created").isNotNull(), F.col("_created")).otherwise(
-        F.col("_last")
+    order = Window.partitionBy("path").orderBy("_cell")
+    apart = F.col("_from") - F.lag("_to").over(order) > width
+    marked = cells.withColumn("_new", F.when(apart, 1).otherwise(0))
+    numbered = marked.withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bursts = numbered.groupBy("path", "_burst").agg(
+        *[F.max(c).alias(c) for c in ("_last", "_created", "_deleted")], F.sum("n_events").alias("n_events")
     )
-    return grouped.withColumn("_p", pick).select("path", F.col("_p.change_type").alias("change_type"), F.col("_p.ts").alias("ts"), "n_events")
+    return _representatives(bursts, final_state)
 
 
 def debounce_stream(changes: DataFrame, gap: str = GAP, lateness: str = "10 seconds") -> DataFrame:

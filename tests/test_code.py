@@ -191,6 +191,20 @@ def test_upsert_and_delete(spark, make_units, make_edges):
     assert (empty.status, empty.n_units) == ("empty", 0)
 
 
+def test_changes_are_applied(spark):
+    schema = "path string, content string"
+    old = spark.createDataFrame([("a.py", "def f():\n    g()\n\ndef g():\n    pass\n"), ("b.py", "def h():\n    f()\n")], schema)
+    units, found = index.build_index(old)
+    assert ("b.py:h", "a.py:f", "CALLS") in triples(found)
+    actions = spark.createDataFrame([("a.py", "index"), ("b.py", "remove")], "path string, action string")
+    new = spark.createDataFrame([("a.py", "def f():\n    k()\n\ndef k():\n    f()\n"), ("b.py", "x")], schema)
+    for scope in ("repo", "file"):
+        after, edges_after = index.apply_changes(units, found, actions, new, scope)
+        assert {r.id for r in after.collect()} == {"a.py:f", "a.py:k"}
+        want = {("a.py", "a.py:f", "DEFINES"), ("a.py", "a.py:k", "DEFINES"), ("a.py:f", "a.py:k", "CALLS"), ("a.py:k", "a.py:f", "CALLS")}
+        assert triples(edges_after) == want
+
+
 PY = "import os\n\nclass A(B):\n    '''Doc é.'''\n\n    @prop\n    def m(self):\n        return f(1)\n\ndef f(x):\n    def inner():\n        pass\n    return inner\n"
 
 
