@@ -271,7 +271,8 @@ def pagerank(
     n = nodes.count()
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("score"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores, most = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(most, max(cores, hop.count() // 1_000_000))
     layout = (
         hop.join(nodes.select(F.col("id").alias("src"), F.col("nid").alias("s"), "deg"), "src")
         .join(nodes.select(F.col("id").alias("dst"), F.col("nid").alias("d")), "dst")
