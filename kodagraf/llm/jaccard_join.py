@@ -34,6 +34,10 @@ from kodagraf.operators.graph import components
 from kodagraf.runtime import cut, drop_cut
 
 BATCH = 2 << 20
+#: Up to this number of rows (16 bytes each) a key set is broadcast to spare the larger side its shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Stands for a missing doc_id in keys.
+NO_ID = -(1 << 63)
 #: Classes of a segment that are compared in one block; larger groups are cut.
 BLOCK = 2_048
 
@@ -106,8 +110,18 @@ def _digest(elements: np.ndarray) -> tuple[int, int]:
     return int(elements.sum(dtype=np.uint64).view(np.int64)), int(other.sum(dtype=np.uint64).view(np.int64))
 
 
+def semi(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in ``wanted`` (a written table): by broadcast if it is small, else by shuffle."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, on, "left_semi")
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``id`` (of the document, never null) and ``content`` (a hash of the text)."""
+    return docs.withColumns({"id": F.coalesce(F.col(doc_id), F.lit(NO_ID)), "content": F.xxhash64(text)})
+
+
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(row, doc_id, n, f1, f2, band, own, below): set size, set digest and the sketches of each text."""
+    """(row, id, content, n, f1, f2, band, own, below): set size, set digest and the sketches of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, segments = bands(rule)
@@ -119,8 +133,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
             below = [sketch(s, int(segments[b - 1])).tobytes() if b > 0 else b"" for s, b in zip(sets, band)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0),
-                    part.column(1),
+                    *part.columns[:3],
                     pa.array(n, pa.int64()),
                     pa.array([x for x, _ in digest], pa.int64()),
                     pa.array([x for _, x in digest], pa.int64()),
@@ -128,11 +141,11 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                     pa.array(own, pa.binary()),
                     pa.array(below, pa.binary()),
                 ],
-                names=["row", "doc_id", "n", "f1", "f2", "band", "own", "below"],
+                names=["row", "id", "content", "n", "f1", "f2", "band", "own", "below"],
             )
 
-    return docs.select("row", "doc_id", "text").mapInArrow(
-        run, "row long, doc_id long, n long, f1 long, f2 long, band int, own binary, below binary"
+    return docs.select(F.monotonically_increasing_id().alias("row"), "id", "content", "text").mapInArrow(
+        run, "row long, id long, content long, n long, f1 long, f2 long, band int, own binary, below binary"
     )
 
 
@@ -283,15 +296,16 @@ def _blocks(members: DataFrame, first: bool) -> DataFrame:
     return small.select(*columns).unionByName(large.select(*columns))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked) by the whole shingle sets of both texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, linked) by the whole shingle sets of both texts, made anew from ``docs`` (id, content, text)."""
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    needed = docs.select("row", "text").join(wanted, "row", "left_semi")
+    wanted = cut(held.select("row", "id", "content").join(wanted, "row", "left_semi"), "jaccard-wanted")
+    needed = semi(docs.select("id", "content", "text"), wanted.select("id", "content"), ["id", "content"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, rule.words):
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "set"]
+                [*part.columns[:2], pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "content", "set"]
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +319,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
             )
 
-    sets = cut(needed.mapInArrow(of, "row long, set binary"), "jaccard-sets")
+    made = needed.mapInArrow(of, "id long, content long, set binary").dropDuplicates(["id", "content"])
+    sets = cut(made.join(wanted, ["id", "content"]).select("row", "set"), "jaccard-sets")
     wide = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b"
     )
@@ -313,26 +328,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their set digests, classes of equal sets, and verified links that connect the classes.
+    """Rows with their set digests, classes of equal sets, and the components of classes that have links.
 
-    docs: row (unique), doc_id, text, in a written table.
+    docs: id, content, text.
     """
     rows = cut(sketches(docs, rule), "jaccard-rows")
     classes = cut(
         rows.filter("n > 0").groupBy("f1", "f2").agg(
-            F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")
+            F.min("row").alias("row"), F.min(F.nullif("id", F.lit(NO_ID))).alias("first_id"), F.count("*").alias("copies")
         ),
         "jaccard-classes",
     )
-    heads = rows.join(classes.select("row"), "row", "left_semi")
+    heads = semi(rows.filter("n > 0"), classes.select("row"), ["row"])
     segments = cut(_segments(heads, rule), "jaccard-segments")
     shared = _shared(segments)
     drop_cut(segments)
-    wanted = shared.select("row").distinct()
-    held = cut(rows.select("row", "n", "band", "own", "below").join(wanted, "row", "left_semi"), "jaccard-held")
+    wanted = cut(shared.select("row").distinct(), "jaccard-wanted")
+    held = cut(semi(rows.drop("f1", "f2"), wanted, ["row"]), "jaccard-held")
+    rows = rows.drop("band", "own", "below")
     linked = tried = component = None
     while True:
-        members = shared.select("key", F.col("n").alias("size"), "row").join(held, "row")
+        members = shared.select("key", F.col("n").alias("size"), "row").join(held.drop("id", "content"), "row")
         if component is None:
             members = members.withColumn("component", F.col("row"))
         else:
@@ -344,7 +360,7 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]
         pairs = cut(_candidates(_blocks(members, component is None), rule, tried), "jaccard-pairs")
         if pairs.isEmpty():
             break
-        judged = cut(_verified(pairs, docs, rule), "jaccard-judged")
+        judged = cut(_verified(pairs, docs, held, rule), "jaccard-judged")
         good = judged.filter("linked").select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
         bad = judged.filter("NOT linked").select("a", "b")
         linked = good if linked is None else linked.unionByName(good)
@@ -359,7 +375,7 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, component) for every row of ``docs`` (row, doc_id, text; a written table).
+    """(row, id, content, n_shingles, component_id, component) for every row of ``docs`` (id, content, text).
 
     component is a number of the group; component_id is the smallest doc_id that links reach, the row's own included. A text
     without words, or null, has no shingles and is alone. Rows that repeat a doc_id count
@@ -372,41 +388,46 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     )
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = cut(named.join(least, "component").select("f1", "f2", "copies", "component_id", "component"), "jaccard-named")
-    slim = rows.select("row", "doc_id", "n", "f1", "f2")
+    slim = rows.select("row", "id", "content", "n", "f1", "f2")
     # Classes above the bound are fewer than SHARE, whatever the input: they may be broadcast.
     bound = max(slim.count() // 10_000, 2_000)
     hot = named.filter(F.col("copies") > bound)
-    columns = ["row", "doc_id", F.col("n").alias("n_shingles"), "component_id", "component"]
+    columns = ["row", "id", "content", F.col("n").alias("n_shingles"), "component_id", "component"]
     with_words = slim.filter("n > 0")
     of_hot = with_words.join(F.broadcast(hot), ["f1", "f2"]).select(*columns)
     others = with_words.join(F.broadcast(hot), ["f1", "f2"], "left_anti")
     of_others = others.join(named.filter(F.col("copies") <= bound), ["f1", "f2"]).select(*columns)
     alone = slim.filter("n = 0").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("row").alias("component")
+        "row",
+        "id",
+        "content",
+        F.col("n").alias("n_shingles"),
+        F.nullif("id", F.lit(NO_ID)).alias("component_id"),
+        F.col("row").alias("component"),
     )
     return of_hot.unionByName(of_others).unionByName(alone)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written once with a unique ``_row``."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-docs")
-
-
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, rule: Rule = Rule(3, 90, 100)) -> DataFrame:
     """Three-word shingles linked at nine tenths: doc_id, n_shingles, component_id."""
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    return near_duplicates(cut(rows, "jaccard-docs"), Rule(3, 90, 100)).select("doc_id", "n_shingles", "component_id")
+    found = near_duplicates(keyed(docs.select("doc_id", "text")), rule)
+    return found.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Columns as in ``docs``."""
+    """One document of each group of near copies: that with the smallest doc_id. Columns as in ``docs``.
+
+    Texts without words all stay. Of rows that repeat both doc_id and text, one stays.
+    """
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
-    wide = cut(named.withColumn("row", F.monotonically_increasing_id()), "jaccard-docs")
-    slim = wide.select(
-        "row", F.col(f"_c{columns.index('doc_id')}").alias("doc_id"), F.col(f"_c{columns.index('text')}").alias("text")
-    )
-    found = near_duplicates(slim, rule)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    kept = found.groupBy("component").agg(F.min(order).alias("first")).select("first.row")
-    return wide.join(kept, "row", "left_semi").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+    wide = keyed(named, f"_c{columns.index('doc_id')}", f"_c{columns.index('text')}")
+    found = cut(near_duplicates(wide.select("id", "content", F.col(f"_c{columns.index('text')}").alias("text")), rule), "jaccard-found")
+    order = F.struct((F.col("id") == NO_ID).alias("unnamed"), "id", "row", "content")
+    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first"))
+    kept = first.select("first.id", "first.content").union(found.filter("n_shingles = 0").select("id", "content"))
+    repeated = found.filter("n_shingles > 0").groupBy("id", "content").agg(F.count("*").alias("rows")).filter("rows > 1")
+    kept = cut(kept.distinct().join(repeated, ["id", "content"], "left"), "jaccard-kept")
+    once = semi(wide, kept.filter("rows IS NULL").select("id", "content"), ["id", "content"])
+    several = semi(wide, kept.filter("rows > 1").select("id", "content"), ["id", "content"]).dropDuplicates(["id", "content"])
+    return once.unionByName(several).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])

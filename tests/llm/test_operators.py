@@ -149,10 +149,10 @@ def test_jaccard_join(make_docs, monkeypatch, k, part):
     docs = make_docs(rows)
     want = sorted(brute.near(rows, k, part, 100))
     rule = jaccard_join.Rule(k, part, 100)
-    slim = jaccard_join.cut(docs.select("doc_id", "text", jaccard_join.F.monotonically_increasing_id().alias("row")), "t")
-    get = lambda: sorted(tuple(r) for r in jaccard_join.near_duplicates(slim, rule).select("doc_id", "n_shingles", "component_id").collect())
+    get = lambda: sorted(map(tuple, jaccard_join.report(docs, rule).collect()))
     assert get() == want
     monkeypatch.setattr(jaccard_join, "BLOCK", 6)  # large groups are cut
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     assert get() == want
 
 
