@@ -38,8 +38,11 @@ BATCH = 2 << 20
 BROADCAST_ROWS = 1_000_000
 #: Stands for a missing doc_id in keys.
 NO_ID = -(1 << 63)
-#: Classes of a segment that are compared in one block; larger groups are cut.
-BLOCK = 2_048
+#: Classes that are compared in one block; larger groups are cut.
+BLOCK = 4_096
+CLUSTER = 8 * BLOCK
+#: Bytes of sketches in a block, about.
+BLOCK_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -170,21 +173,36 @@ def _segments(classes: DataFrame, rule: Rule) -> DataFrame:
     return classes.select("row", "band", "own", "below").mapInArrow(run, "key long, row long")
 
 
-def _shared(segments: DataFrame) -> DataFrame:
-    """The (key, row) of keys that several classes hold; of keys with the same holders, one."""
+def _groups(segments: DataFrame) -> DataFrame:
+    """(grp, size, row): groups of classes such that every linked pair is within one.
+
+    Classes that shared keys connect are one cluster, and each class is in it once. A
+    cluster above ``CLUSTER`` is left as its keys (of keys with the same holders, one).
+    """
     hot = cut(hot_keys(segments, ["key"], segments.count()), "jaccard-hot")
-    cold = segments.join(F.broadcast(hot), "key", "left_anti").withColumn(
-        "n", F.count("*").over(Window.partitionBy("key"))
+    by_key = Window.partitionBy("key")
+    cold = segments.join(F.broadcast(hot), "key", "left_anti").withColumns(
+        {"n": F.count("*").over(by_key), "lead": F.min("row").over(by_key)}
     )
-    members = cold.filter("n > 1").select("key", "row").unionByName(segments.join(F.broadcast(hot), "key", "left_semi"))
+    of_hot = segments.join(F.broadcast(hot), "key", "left_semi")
+    leads = of_hot.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("lead"))  # as few as ``hot``
+    columns = ["key", "row", "n", "lead"]
+    members = cold.filter("n > 1").select(*columns).unionByName(of_hot.join(F.broadcast(leads), "key").select(*columns))
     members = cut(members, "jaccard-members")
-    holders = members.groupBy("key").agg(
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("row")).alias("x1"),
-        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2"),
+    stars = members.filter("row <> lead").select(F.col("row").alias("source_id"), F.col("lead").alias("target_id"))
+    cluster = cut(components(stars).select(F.col("id").alias("row"), F.col("component").alias("cluster")), "jaccard-clusters")
+    sizes = cut(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "jaccard-sizes")
+    small = cluster.join(sizes.filter(F.col("size") <= CLUSTER), "cluster").select(
+        F.concat(F.lit("c"), F.hex("cluster")).alias("grp"), "size", "row"
+    )
+    inside = cluster.join(sizes.filter(F.col("size") > CLUSTER), "cluster").select("row")
+    large = members.join(inside, "row", "left_semi")
+    holders = large.groupBy("key", "n").agg(
+        F.bit_xor(F.xxhash64("row")).alias("x1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2")
     )
     one = holders.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
-    return cut(members.join(one.select("key", "n"), "key"), "jaccard-shared")
+    large = large.join(one.select("key"), "key", "left_semi")
+    return cut(small.unionByName(large.select(F.concat(F.lit("k"), F.hex("key")).alias("grp"), F.col("n").alias("size"), "row")), "jaccard-groups")
 
 
 def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None) -> DataFrame:
@@ -261,27 +279,34 @@ def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None) -> Data
 
 
 def _blocks(members: DataFrame, first: bool) -> DataFrame:
-    """A block for each group of members of a key; of larger groups, blocks that hold every open pair.
+    """(block, row, component): a block for each group, and for larger groups blocks that hold every open pair.
 
-    At first a large group is cut and the smallest class goes along with each piece,
-    which already connects the copies of one text. Later the classes that are connected
-    with that smallest class (the core) need to meet only the rest, and the rest each other.
+    members: grp, size, row, component, bytes. At first a large group is cut and its
+    smallest class goes along with each piece, which already connects most copies of one
+    text. Later the classes that are connected with that smallest class (the core) need to
+    meet only the rest, and the rest each other.
     """
-    small = members.filter(F.col("size") <= BLOCK).withColumn("block", F.hex("key"))
-    large = members.filter(F.col("size") > BLOCK)
-    lead = large.groupBy("key").agg(F.min(F.struct("row", "component")).alias("lead"))
-    large = large.join(lead, "key").withColumn("cuts", F.ceil(F.col("size") / (BLOCK // 2)).cast("int"))
+    of_group = members.groupBy("grp").agg(
+        F.min(F.struct("row", "component")).alias("lead"), F.sum("bytes").alias("bytes"), F.max("size").alias("n")
+    )
+    cuts = F.ceil(2 * F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    of_group = of_group.withColumn("cuts", F.when(cuts <= 2, F.lit(1)).otherwise(cuts)).drop("bytes", "n")
+    whole = members.join(of_group, "grp")
+    small = whole.filter("cuts = 1").withColumn("block", F.col("grp"))
+    large = whole.filter("cuts > 1")
     piece = F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")
     if first:
         pieces = F.when(F.col("row") == F.col("lead.row"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(piece))
         large = large.withColumn("piece", F.explode(pieces)).withColumn(
-            "block", F.concat_ws(":", F.hex("key"), F.col("piece").cast("string"))
+            "block", F.concat_ws(":", "grp", F.col("piece").cast("string"))
         )
     else:
         in_core = F.col("component") == F.col("lead.component")
-        rest = large.groupBy("key").agg(F.count_if(~in_core).alias("rest"))
-        large = large.join(rest, "key").withColumn("parts", F.ceil(F.col("rest") / (BLOCK // 2)).cast("int"))
-        of_rest = F.pmod(F.xxhash64("row", F.lit(3)), F.greatest("parts", F.lit(1))).cast("int")
+        rest = large.groupBy("grp").agg(F.count_if(~in_core).alias("rest"), F.count("*").alias("n"))
+        large = large.join(rest.filter("rest > 0"), "grp").withColumn(
+            "parts", F.ceil(F.col("cuts") * F.col("rest") / F.col("n")).cast("int")
+        )
+        of_rest = F.pmod(F.xxhash64("row", F.lit(3)), F.col("parts")).cast("int")
         to_rest = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat_ws("-", i, piece))
         met = F.concat(
             F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.concat_ws("-", of_rest, j)),
@@ -290,9 +315,9 @@ def _blocks(members: DataFrame, first: bool) -> DataFrame:
                 lambda i: F.concat_ws("+", F.least(i, of_rest), F.greatest(i, of_rest)),
             ),
         )
-        large = large.filter("rest > 0").withColumn("piece", F.explode(F.when(in_core, to_rest).otherwise(met)))
-        large = large.withColumn("block", F.concat_ws(":", F.hex("key"), F.col("piece")))
-    columns = ["block", "row", "component", "n", "band", "own", "below"]
+        large = large.withColumn("piece", F.explode(F.when(in_core, to_rest).otherwise(met)))
+        large = large.withColumn("block", F.concat_ws(":", "grp", "piece"))
+    columns = ["block", "row", "component"]
     return small.select(*columns).unionByName(large.select(*columns))
 
 
@@ -341,36 +366,46 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]
     )
     heads = semi(rows.filter("n > 0"), classes.select("row"), ["row"])
     segments = cut(_segments(heads, rule), "jaccard-segments")
-    shared = _shared(segments)
+    groups = _groups(segments)
     drop_cut(segments)
-    wanted = cut(shared.select("row").distinct(), "jaccard-wanted")
+    wanted = cut(groups.select("row").distinct(), "jaccard-wanted")
     held = cut(semi(rows.drop("f1", "f2"), wanted, ["row"]), "jaccard-held")
     rows = rows.drop("band", "own", "below")
-    linked = tried = component = None
+    weight = held.select("row", (F.length("own") + F.length("below")).cast("bigint").alias("bytes"))
+    groups = cut(groups.join(weight, "row"), "jaccard-groups")
+    component = docs.sparkSession.createDataFrame([], "id long, component long")
+    linked = tried = again = None
+    turn = 0
     while True:
-        members = shared.select("key", F.col("n").alias("size"), "row").join(held.drop("id", "content"), "row")
-        if component is None:
-            members = members.withColumn("component", F.col("row"))
-        else:
-            members = members.join(component.withColumnRenamed("id", "row"), "row", "left").withColumn(
-                "component", F.coalesce("component", F.col("row"))
-            )
-            mixed = members.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
-            members = members.join(mixed.filter("c1 <> c2").select("key"), "key", "left_semi")
-        pairs = cut(_candidates(_blocks(members, component is None), rule, tried), "jaccard-pairs")
+        turn += 1
+        members = groups.join(component.withColumnRenamed("id", "row"), "row", "left").withColumn(
+            "component", F.coalesce("component", F.col("row"))
+        )
+        if turn > 1:
+            # A group is open if a pair of it was refused in the last turn, or if it was cut in the first.
+            open_ = groups.join(again, "row", "left_semi").select("grp")
+            if turn == 2:
+                cut_up = groups.groupBy("grp").agg(F.sum("bytes").alias("bytes"), F.max("size").alias("n"))
+                open_ = open_.union(cut_up.filter((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("grp"))
+            members = members.join(open_.distinct(), "grp", "left_semi")
+            mixed = members.groupBy("grp").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+            members = members.join(mixed.filter("c1 <> c2").select("grp"), "grp", "left_semi")
+        blocks = cut(_blocks(members, turn == 1), "jaccard-blocks")
+        wide = blocks.join(held.drop("id", "content"), "row")
+        pairs = cut(_candidates(wide, rule, tried), "jaccard-pairs")
         if pairs.isEmpty():
+            if turn == 1:  # groups that were cut are still open
+                again = pairs.select(F.col("a").alias("row"))
+                continue
             break
         judged = cut(_verified(pairs, docs, held, rule), "jaccard-judged")
         good = judged.filter("linked").select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
         bad = judged.filter("NOT linked").select("a", "b")
+        again = bad.select(F.col("a").alias("row"))
         linked = good if linked is None else linked.unionByName(good)
         tried = bad if tried is None else tried.unionByName(bad)
         if not linked.isEmpty():
             component = cut(components(linked), "jaccard-components")
-        elif component is None:
-            component = docs.sparkSession.createDataFrame([], "id long, component long")
-    if component is None:
-        component = docs.sparkSession.createDataFrame([], "id long, component long")
     return rows, classes, component
 
 

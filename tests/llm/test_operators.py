@@ -154,6 +154,8 @@ def test_jaccard_join(make_docs, monkeypatch, k, part):
     monkeypatch.setattr(jaccard_join, "BLOCK", 6)  # large groups are cut
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     assert get() == want
+    monkeypatch.setattr(jaccard_join, "CLUSTER", 20)  # large clusters go by keys
+    assert get() == want
 
 
 def test_jaccard_tables(small):
