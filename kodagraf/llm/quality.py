@@ -111,20 +111,15 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(sketches: DataFrame) -> DataFrame:
     """The fences in force for each (lang, source): its own, else its language's, else those of all."""
     names = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
-    everything = sketches.withColumn("whole", F.lit(1))
-    own = fences(sketches, ["lang", "source"]).withColumn("whole", F.lit(1))
+    own = fences(sketches, ["lang", "source"])
     of_lang = fences(merged(sketches, ["lang"]), ["lang"])
-    of_all = fences(merged(everything, ["whole"]), ["whole"])
-
-    def renamed(df: DataFrame, tag: str, key: str) -> DataFrame:
-        return df.select(F.col(key).alias(f"{tag}_{key}"), *[F.col(c).alias(f"{tag}_{c}") for c in ["docs", *names]])
-
-    lang, every = renamed(of_lang, "l", "lang"), renamed(of_all, "a", "whole")
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(every, F.col("whole") == F.col("a_whole"), "left")
+    of_all = fences(merged(sketches.withColumn("whole", F.lit(1)), ["whole"]), ["whole"]).first()  # one row
+    lang = of_lang.select(F.col("lang").alias("l_lang"), *[F.col(c).alias(f"l_{c}") for c in ["docs", *names]])
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
     chosen = [
         F.when(F.col("docs") >= MIN_GROUP, F.col(c))
         .when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{c}"))
-        .otherwise(F.col(f"a_{c}"))
+        .otherwise(F.lit(of_all[c] if of_all else None).cast("bigint"))
         .alias(c)
         for c in names
     ]
@@ -133,7 +128,7 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 
 def judged(measured: DataFrame) -> DataFrame:
     """Adds base_failed and kept. measured: a written table with lang, source and the metrics."""
-    table = cut(thresholds(sketch(measured)), "quality-fences")
+    table = cut(thresholds(cut(sketch(measured), "quality-sketch")), "quality-fences")
     # Groups with more than one document in 10,000 are fewer than 10,000: only they are broadcast.
     bound = max(measured.count() // 10_000, 1)
     same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
