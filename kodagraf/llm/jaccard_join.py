@@ -33,7 +33,7 @@ from kodagraf.llm.skew import hot_keys
 from kodagraf.operators.graph import components
 from kodagraf.runtime import cut, drop_cut
 
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Up to this number of rows (16 bytes each) a key set is broadcast to spare the larger side its shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Stands for a missing doc_id in keys.
@@ -190,7 +190,22 @@ def _groups(segments: DataFrame) -> DataFrame:
     members = cold.filter("n > 1").select(*columns).unionByName(of_hot.join(F.broadcast(leads), "key").select(*columns))
     members = cut(members, "jaccard-members")
     stars = members.filter("row <> lead").select(F.col("row").alias("source_id"), F.col("lead").alias("target_id"))
-    cluster = cut(components(stars).select(F.col("id").alias("row"), F.col("component").alias("cluster")), "jaccard-clusters")
+    stars = cut(stars.distinct(), "jaccard-stars")
+    # Classes take the smallest lead as a label; only what connects different labels is left to search.
+    label = cut(stars.groupBy(F.col("source_id").alias("id")).agg(F.min("target_id").alias("label")), "jaccard-labels")
+
+    def labelled(rows: DataFrame, column: str) -> DataFrame:
+        few = label.count() <= BROADCAST_ROWS
+        found = rows.join(F.broadcast(label) if few else label, F.col(column) == F.col("id"), "left")
+        return found.withColumn(column, F.coalesce("label", column)).drop("id", "label")
+
+    between = labelled(labelled(stars, "source_id"), "target_id").filter("source_id <> target_id").distinct()
+    joined = components(between).select(F.col("id").alias("label"), F.col("component").alias("cluster"))
+    rows = label.select(F.col("id").alias("row"), "label").unionByName(stars.select(F.col("target_id").alias("row"), F.col("target_id").alias("label")).distinct())
+    rows = rows.groupBy("row").agg(F.min("label").alias("label"))
+    cluster = cut(
+        rows.join(joined, "label", "left").select("row", F.coalesce("cluster", "label").alias("cluster")), "jaccard-clusters"
+    )
     sizes = cut(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "jaccard-sizes")
     small = cluster.join(sizes.filter(F.col("size") <= CLUSTER), "cluster").select(
         F.concat(F.lit("c"), F.hex("cluster")).alias("grp"), "size", "row"
@@ -205,11 +220,13 @@ def _groups(segments: DataFrame) -> DataFrame:
     return cut(small.unionByName(large.select(F.concat(F.lit("k"), F.hex("key")).alias("grp"), F.col("n").alias("size"), "row")), "jaccard-groups")
 
 
-def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None) -> DataFrame:
+def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None, at_once: int) -> DataFrame:
     """(a, b): close pairs of different components that connect the classes of a block.
 
     members: block, row, component, n, band, own, below. A pair is compared by the
-    sketches of its lower band. tried: pairs that verification has refused.
+    sketches of its lower band. tried: pairs that verification has refused. With
+    ``at_once`` above 1 a class is tried with so many of a component in one turn, since
+    pairs near the bound are often refused; the others wait for the next turn.
     """
     columns = ["block", "row", "component", "n", "band", "own", "below"]
     rows = members.select(*columns, F.lit(None).cast("bigint").alias("not_with"))
@@ -242,6 +259,7 @@ def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None) -> Data
                     others = np.flatnonzero(same[:i] == band)
                 apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 near = np.flatnonzero(rule.close(size[others] + size[i], apart))
+                tries: dict[int, int] = {}
                 for j in near[np.argsort(apart[near], kind="stable")]:
                     x, y = here[others[j]], here[i]
                     if (a := root(x[1])) == (b := root(y[1])):
@@ -249,7 +267,12 @@ def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None) -> Data
                     pair = (min(x[0], y[0]), max(x[0], y[0]))
                     if pair in refused:
                         continue
-                    parent[a] = b
+                    if at_once == 1:
+                        parent[a] = b
+                    elif (met := tries.get(a, 0)) >= at_once:
+                        continue
+                    else:
+                        tries[a] = met + 1
                     pairs.append(pair)
         return pairs
 
@@ -378,21 +401,23 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]
     turn = 0
     while True:
         turn += 1
-        members = groups.join(component.withColumnRenamed("id", "row"), "row", "left").withColumn(
-            "component", F.coalesce("component", F.col("row"))
-        )
+        members = groups
         if turn > 1:
             # A group is open if a pair of it was refused in the last turn, or if it was cut in the first.
             open_ = groups.join(again, "row", "left_semi").select("grp")
             if turn == 2:
                 cut_up = groups.groupBy("grp").agg(F.sum("bytes").alias("bytes"), F.max("size").alias("n"))
                 open_ = open_.union(cut_up.filter((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("grp"))
-            members = members.join(open_.distinct(), "grp", "left_semi")
+            groups = members = cut(groups.join(open_.distinct(), "grp", "left_semi"), "jaccard-open")
+        members = members.join(component.withColumnRenamed("id", "row"), "row", "left").withColumn(
+            "component", F.coalesce("component", F.col("row"))
+        )
+        if turn > 1:
             mixed = members.groupBy("grp").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
             members = members.join(mixed.filter("c1 <> c2").select("grp"), "grp", "left_semi")
         blocks = cut(_blocks(members, turn == 1), "jaccard-blocks")
         wide = blocks.join(held.drop("id", "content"), "row")
-        pairs = cut(_candidates(wide, rule, tried), "jaccard-pairs")
+        pairs = cut(_candidates(wide, rule, tried, 1 if turn == 1 else 16), "jaccard-pairs")
         if pairs.isEmpty():
             if turn == 1:  # groups that were cut are still open
                 again = pairs.select(F.col("a").alias("row"))

@@ -80,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()  # a worker stays, its memory need not
 
 
 def _bounds(low: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
