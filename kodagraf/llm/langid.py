@@ -125,7 +125,7 @@ def sample(labelled: DataFrame, size: int) -> DataFrame:
     last = hashed.withColumn("place", place).filter(F.col("place") <= size).groupBy("lang").agg(F.max("h").alias("last"))
     return (
         labelled.withColumn("h", F.xxhash64("text"))
-        .join(last, "lang")
+        .join(F.broadcast(last), "lang")  # a row per language: smaller than the model
         .filter("h <= last")
         .dropDuplicates(["lang", "h"])
         .select("lang", "h", "text")
