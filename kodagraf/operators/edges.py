@@ -77,10 +77,9 @@ def call_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> Dat
 
     both = found.select("source_id", "source_file", "target_id", "target_file")
     odd = targets.filter(~plain).withColumn("word", F.regexp_extract("name", r"(?U)(\w+)", 1))
-    if not odd.isEmpty():
-        all_words = src.withColumn("word", F.explode(_runs(F.col("text"), r"(\w+)")))
-        odd_found = all_words.join(odd, "word").filter(F.rlike(F.col("text"), call_regex(F.col("name"))))
-        both = both.unionByName(odd_found.select(*both.columns))
+    all_words = src.withColumn("word", F.explode(F.array_distinct(_runs(F.col("text"), r"(\w+)"))))
+    odd_found = all_words.join(odd, "word").filter(F.rlike(F.col("text"), call_regex(F.col("name"))))
+    both = both.unionByName(odd_found.select(*both.columns))
     both = both.filter("source_id <> target_id")
     if scope == "file":
         both = both.filter("source_file = target_file")

@@ -46,11 +46,13 @@ def by_id(units: DataFrame, ids: DataFrame) -> DataFrame:
 def lookup_exact(units: DataFrame, requests: DataFrame) -> DataFrame:
     """(query_id, name) -> the first unit of that name, ignoring case.
 
-    Requests are reduced to distinct names before they meet the units: a name that
-    a third of the requests share is looked up once.
+    Requests are reduced to distinct names, and units to the first of each name, before
+    they meet: neither a name that a third of the requests share nor one that a third of
+    the units bear makes more than one row.
     """
     wanted = requests.select(F.col("name").alias("wanted")).filter(F.length(F.trim("wanted")) > 0).distinct()
-    u = named(units)
+    first = named(units).groupBy("name").agg(_first([F.col(c) for c in UNIT_ORDER], SLIM_COLS))
+    u = _unpack(first, ["name"], SLIM_COLS)
     hits = wanted.join(u, F.lower("wanted") == F.lower("name"))
     order = [F.col("name") != F.col("wanted"), *map(F.col, UNIT_ORDER)]
     carry = [*SLIM_COLS, "name"]
