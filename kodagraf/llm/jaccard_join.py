@@ -2,15 +2,17 @@
 
 Toggling one bit per shingle makes a sketch whose Hamming distance never exceeds the
 symmetric difference of two sets. Sizes fall into bands such that linked sets are in
-the same or neighbouring bands; for each pair of bands the allowed difference ``d``
-is known, and a sketch of ``d + 1 + spare`` segments of 64 bits has, for every linked
-pair, at least ``1 + spare`` equal segments. So an equi-join on segments finds every
-linked pair even if up to ``spare`` nearly empty segments of a set are left out.
+the same or neighbouring bands. For each pair of bands a long sketch is cut into
+segments of 2^32 bits, which are never laid out: a segment stands as the XOR of the
+hashes of its shingles. Two sets that may differ in ``d`` shingles differ in at most
+``d`` segments. All segments have one order (most shingles first, then by hash), so
+among the first ``d + 1`` segments of both sets there is an equal one: an equi-join on
+those finds every linked pair.
 
 Sets that are equal are one class. Segments shared by several classes are searched
 within bounded blocks: only pairs of classes that are not known to be connected and
-whose sketches are close enough come out, as a forest, and are verified on their whole
-shingle sets. Rounds go on until no untried pair is left, so no link is lost and no
+whose short sketches (some bits per shingle, folded to equal length) are close enough
+come out, as a forest, and are verified on their whole shingle sets. Rounds go on until no untried pair is left, so no link is lost and no
 group is expanded into all its pairs.
 
 Shingles are compared by 64-bit hashes, sets of equal size by 128 bits.
@@ -41,6 +43,8 @@ NO_ID = -(1 << 63)
 #: Classes that are compared in one block; larger groups are cut.
 BLOCK = 4_096
 CLUSTER = 8 * BLOCK
+#: Bits of a short sketch for each shingle, at least.
+BITS = 4
 #: Bytes of sketches in a block, about.
 BLOCK_BYTES = 16 << 20
 
@@ -92,14 +96,38 @@ def sketch(elements: np.ndarray, segments: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def keys(words: np.ndarray, band: int, spare: int) -> np.ndarray:
-    """Join keys of the segments, without the nearly empty ones if they are few."""
-    used = np.bitwise_count(words) > 1
-    if len(words) - int(used.sum()) > spare:
-        used = np.ones(len(words), bool)
-    place = np.flatnonzero(used)
-    salt = (place.astype(np.uint64) << np.uint64(16)) + np.uint64(band)
-    return t.mix(words[used] ^ t.mix(salt * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))).view(np.int64)
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of 2^k words brought down to ``size`` words; it bounds the difference as before."""
+    while len(words) > size:
+        words = words[0::2] ^ words[1::2]
+    return words
+
+
+def width(rule: Rule, band: int) -> int:
+    """Words of the short sketch, a power of two."""
+    return 1 << max(0, (BITS * int(bands(rule)[0][band]) - 1) // 64).bit_length()
+
+
+def keys(elements: np.ndarray, rule: Rule, band: int) -> np.ndarray:
+    """Join keys of a set (sorted) for its own band with the following, and for the one below with its own."""
+    low, segments = bands(rule)
+    n, found = len(elements), []
+    for b, partner in ((band, min(rule.of * n // rule.part, int(low[band + 2]) - 1)), (band - 1, int(low[band]) - 1)):
+        d = (rule.of - rule.part) * (n + partner) // (rule.of + rule.part)
+        if b < 0 or d == 0 or segments[b] == 0:
+            continue  # only equal sets link
+        place = ((elements >> np.uint64(32)) * np.uint64(segments[b])) >> np.uint64(32)
+        start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        total, count, place = np.bitwise_xor.reduceat(elements, start), np.diff(np.append(start, n)), place[start]
+        if len(start) <= d:
+            empty = np.setdiff1d(np.arange(segments[b], dtype=np.uint64), place, assume_unique=True)
+            place = np.append(place, empty)
+            total = np.append(total, np.zeros(len(empty), np.uint64))
+            count = np.append(count, np.zeros(len(empty), np.int64))
+        salt = (place << np.uint64(16)) + np.uint64(b)
+        h = t.mix(total ^ t.mix(salt * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
+        found.append(h[np.lexsort((h, -count))[: d + 1]])
+    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -124,16 +152,17 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(row, id, content, n, f1, f2, band, own, below): set size, set digest and the sketches of each text."""
+    """(row, id, content, n, f1, f2, band, bits, keys): set size, set digest, short sketch and join keys of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, segments = bands(rule)
+        low, _ = bands(rule)
         for part, sets in _sets(batches, rule.words):
             n = [len(s) for s in sets]
             band = np.searchsorted(low, n, "right") - 1
             digest = [_digest(s) for s in sets]
-            own = [sketch(s, int(segments[b])).tobytes() if b >= 0 else b"" for s, b in zip(sets, band)]
-            below = [sketch(s, int(segments[b - 1])).tobytes() if b > 0 else b"" for s, b in zip(sets, band)]
+            bits = [sketch(s, width(rule, int(b))).tobytes() if b >= 0 else b"" for s, b in zip(sets, band)]
+            of = [keys(s, rule, int(b)) if b >= 0 else np.zeros(0, np.int64) for s, b in zip(sets, band)]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in of])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *part.columns[:3],
@@ -141,38 +170,18 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                     pa.array([x for x, _ in digest], pa.int64()),
                     pa.array([x for _, x in digest], pa.int64()),
                     pa.array(band, pa.int32()),
-                    pa.array(own, pa.binary()),
-                    pa.array(below, pa.binary()),
+                    pa.array(bits, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(of))),
                 ],
-                names=["row", "id", "content", "n", "f1", "f2", "band", "own", "below"],
+                names=["row", "id", "content", "n", "f1", "f2", "band", "bits", "keys"],
             )
 
     return docs.select(F.monotonically_increasing_id().alias("row"), "id", "content", "text").mapInArrow(
-        run, "row long, id long, content long, n long, f1 long, f2 long, band int, own binary, below binary"
+        run,
+        "row long, id long, content long, n long, f1 long, f2 long, band int, bits binary, keys array<long>",
     )
 
 
-def _segments(classes: DataFrame, rule: Rule) -> DataFrame:
-    """(key, row): one row for each segment of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, segments = bands(rule)
-        for batch in batches:
-            found, rows = [], []
-            for row, band, own, below in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for words, b in ((own, band), (below, band - 1)):
-                    if words:
-                        spare = int(segments[b]) - differences(rule, b) - 1
-                        got = keys(np.frombuffer(words, np.uint64), b, spare)
-                        found.append(got)
-                        rows.append(np.full(len(got), row, np.int64))
-            if found:
-                columns = [pa.array(np.concatenate(found)), pa.array(np.concatenate(rows))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "row"])
-
-    return classes.select("row", "band", "own", "below").mapInArrow(run, "key long, row long")
-
-
 def _groups(segments: DataFrame) -> DataFrame:
     """(grp, size, row): groups of classes such that every linked pair is within one.
 
@@ -217,18 +226,21 @@ def _groups(segments: DataFrame) -> DataFrame:
     )
     one = holders.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
     large = large.join(one.select("key"), "key", "left_semi")
-    return cut(small.unionByName(large.select(F.concat(F.lit("k"), F.hex("key")).alias("grp"), F.col("n").alias("size"), "row")), "jaccard-groups")
+    large = large.select(F.concat(F.lit("k"), F.hex("key")).alias("grp"), F.col("n").alias("size"), "row")
+    groups = cut(small.unionByName(large), "jaccard-groups")
+    for spent in (members, stars, label, cluster, sizes):
+        drop_cut(spent)
+    return groups
 
 
 def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None, at_once: int) -> DataFrame:
     """(a, b): close pairs of different components that connect the classes of a block.
 
-    members: block, row, component, n, band, own, below. A pair is compared by the
-    sketches of its lower band. tried: pairs that verification has refused. With
+    members: block, row, component, n, band, bits. tried: pairs that verification has refused. With
     ``at_once`` above 1 a class is tried with so many of a component in one turn, since
     pairs near the bound are often refused; the others wait for the next turn.
     """
-    columns = ["block", "row", "component", "n", "band", "own", "below"]
+    columns = ["block", "row", "component", "n", "band", "bits"]
     rows = members.select(*columns, F.lit(None).cast("bigint").alias("not_with"))
     if tried is not None:
         held = members.select("block", F.col("row").alias("a")).join(tried, "a")
@@ -247,10 +259,10 @@ def _candidates(members: DataFrame, rule: Rule, tried: DataFrame | None, at_once
 
         pairs: list[tuple[int, int]] = []
         for band in sorted({g[3] for g in group}):
-            here = [g for g in group if g[3] in (band, band + 1) and (g[4] if g[3] == band else g[5])]
+            here = [g for g in group if g[3] in (band, band + 1)]
             if len(here) < 2:
                 continue
-            bits = np.frombuffer(b"".join(g[4] if g[3] == band else g[5] for g in here), np.uint64).reshape(len(here), -1)
+            bits = np.stack([fold(np.frombuffer(g[4], np.uint64), width(rule, band)) for g in here])
             size, same = np.array([g[2] for g in here]), np.array([g[3] for g in here])
             for i in range(1, len(here)):
                 if same[i] == band:
@@ -387,14 +399,14 @@ def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]
         ),
         "jaccard-classes",
     )
-    heads = semi(rows.filter("n > 0"), classes.select("row"), ["row"])
-    segments = cut(_segments(heads, rule), "jaccard-segments")
-    groups = _groups(segments)
-    drop_cut(segments)
+    heads = semi(rows.filter("n > 0").select("row", "keys"), classes.select("row"), ["row"])
+    if classes.count() > BROADCAST_ROWS:
+        heads = cut(heads, "jaccard-heads")  # shuffled once
+    groups = _groups(heads.select(F.explode("keys").alias("key"), "row"))
     wanted = cut(groups.select("row").distinct(), "jaccard-wanted")
-    held = cut(semi(rows.drop("f1", "f2"), wanted, ["row"]), "jaccard-held")
-    rows = rows.drop("band", "own", "below")
-    weight = held.select("row", (F.length("own") + F.length("below")).cast("bigint").alias("bytes"))
+    held = cut(semi(rows.drop("f1", "f2", "keys"), wanted, ["row"]), "jaccard-held")
+    rows = rows.drop("band", "bits", "keys")
+    weight = held.select("row", F.length("bits").cast("bigint").alias("bytes"))
     groups = cut(groups.join(weight, "row"), "jaccard-groups")
     component = docs.sparkSession.createDataFrame([], "id long, component long")
     linked = tried = again = None

@@ -193,6 +193,31 @@ def test_sketch_bounds_difference():
         assert segments[band] == 0 or 190 * (jaccard_join.differences(rule, band) + 1) > 10 * (size + most)
 
 
+@pytest.mark.parametrize("words,part", [(3, 90), (5, 80)])
+def test_linked_sets_share_a_key(words, part):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rule = jaccard_join.Rule(words, part, 100)
+    low, _ = jaccard_join.bands(rule)
+    new = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    tried = 0
+    for _ in range(2000):
+        a = np.unique(new(int(rng.integers(1, 400))))
+        less, more = rng.integers(0, len(a) // 5 + 1), rng.integers(0, len(a) // 4 + 1)
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[less:]], new(int(more))]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < part * (len(a) + len(b) - both) or both == len(a) == len(b):
+            continue
+        tried += 1
+        bands = [int(np.searchsorted(low, len(x), "right")) - 1 for x in (a, b)]
+        assert np.intersect1d(*(jaccard_join.keys(x, rule, band) for x, band in zip((a, b), bands))).size
+        short = min(jaccard_join.width(rule, band) for band in bands)
+        x, y = (jaccard_join.fold(jaccard_join.sketch(s, jaccard_join.width(rule, k)), short) for s, k in zip((a, b), bands))
+        assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
+    assert tried > 200
+
+
 def test_licenses(docs):
     want = brute.licenses(pairs(docs))
     for r in license_scan.report(with_extras(docs)).collect():
