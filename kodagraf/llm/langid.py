@@ -121,8 +121,17 @@ def document_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
 def sample(labelled: DataFrame, size: int) -> DataFrame:
     """At most ``size`` texts per language (more only if texts tie at the bound's hash)."""
     hashed = labelled.select("lang", F.xxhash64("text").alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = hashed.withColumn("place", place).filter(F.col("place") <= size).groupBy("lang").agg(F.max("h").alias("last"))
+
+    def reached(counts: DataFrame, column: str) -> DataFrame:
+        """The value at which the rows of a language, in order, reach ``size``; its last value if they are fewer."""
+        before = F.sum("n").over(Window.partitionBy("lang").orderBy(column)) - F.col("n")
+        return counts.withColumn("before", before).filter(F.col("before") < size).groupBy("lang").agg(F.max(column).alias("last"))
+
+    # Counts of 65,536 ranges of hashes tell which range holds the bound, so no task meets all rows of a language.
+    ranged = hashed.withColumn("range", F.shiftright("h", 48))
+    upto = reached(ranged.groupBy("lang", "range").agg(F.count("*").alias("n")), "range")
+    near = ranged.join(F.broadcast(upto), "lang").filter(F.col("range") <= F.col("last"))
+    last = reached(near.groupBy("lang", "h").agg(F.count("*").alias("n")), "h")
     return (
         labelled.withColumn("h", F.xxhash64("text"))
         .join(F.broadcast(last), "lang")  # a row per language: smaller than the model
