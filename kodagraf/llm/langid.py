@@ -118,9 +118,8 @@ def document_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def sample(labelled: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` texts per language (more only if texts tie at the bound's hash)."""
-    hashed = labelled.select("lang", F.xxhash64("text").alias("h"))
+def bounds(hashed: DataFrame, size: int) -> DataFrame:
+    """(lang, last): the hash at which the rows (lang, h) of a language, in order, reach ``size``."""
 
     def reached(counts: DataFrame, column: str) -> DataFrame:
         """The value at which the rows of a language, in order, reach ``size``; its last value if they are fewer."""
@@ -131,7 +130,12 @@ def sample(labelled: DataFrame, size: int) -> DataFrame:
     ranged = hashed.withColumn("range", F.shiftright("h", 48))
     upto = reached(ranged.groupBy("lang", "range").agg(F.count("*").alias("n")), "range")
     near = ranged.join(F.broadcast(upto), "lang").filter(F.col("range") <= F.col("last"))
-    last = reached(near.groupBy("lang", "h").agg(F.count("*").alias("n")), "h")
+    return reached(near.groupBy("lang", "h").agg(F.count("*").alias("n")), "h")
+
+
+def sample(labelled: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` texts per language."""
+    last = bounds(labelled.select("lang", F.xxhash64("text").alias("h")), size)
     return (
         labelled.withColumn("h", F.xxhash64("text"))
         .join(F.broadcast(last), "lang")  # a row per language: smaller than the model

@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kodagraf.llm import text as t
-from kodagraf.llm.langid import fold, sample
+from kodagraf.llm.langid import bounds, fold, sample
+from kodagraf.runtime import cut, drop_cut
 
 #: Labelled texts per label that the model is fitted on, at most.
 SAMPLE = 3_000
@@ -226,13 +227,18 @@ def _features(automaton: ahocorasick.Automaton | None, text: str | None) -> tupl
 
 def fit(labelled: DataFrame, exceptions: Iterable[str] = (), sample_size: int = SAMPLE) -> Model:
     """Learn from rows (text, toxic 0/1) without nulls, at most ``sample_size`` per label."""
-    rows = sample(labelled.select(F.col("toxic").cast("string").alias("lang"), "text"), sample_size)
-    rows = rows.select("text", F.col("lang").cast("int").alias("toxic"), (F.col("h") % 2 == 0).alias("first"))
+    return fit_sample(sample(labelled.select(F.col("toxic").cast("string").alias("lang"), "text"), sample_size), exceptions)
+
+
+def fit_sample(chosen: DataFrame, exceptions: Iterable[str] = ()) -> Model:
+    """Learn from the rows (lang, h, text) of a bounded sample, where lang is the label; written once, read several times."""
+    written = cut(chosen, "toxicity-sample")
+    rows = written.select("text", F.col("lang").cast("int").alias("toxic"), (F.col("h") % 2 == 0).alias("first"))
     n = {(r["first"], r["toxic"]): r["count"] for r in rows.groupBy("first", "toxic").count().collect()}
     first = rows.filter("first")
     lexicon = learn_lexicon(first, n.get((True, 1), 0), n.get((True, 0), 0))
     lexicon.exceptions = [*exceptions, *learn_exceptions(first, lexicon)]
-    sent = labelled.sparkSession.sparkContext.broadcast(lexicon)
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = sent.value.automaton()
@@ -244,6 +250,7 @@ def fit(labelled: DataFrame, exceptions: Iterable[str] = (), sample_size: int =
             )
 
     rest = rows.filter("NOT first").select("text", "toxic").mapInArrow(run, "total double, words long, toxic int").collect()
+    drop_cut(written)
     rest.sort()
     features = np.array([[r["total"], r["words"]] for r in rest], float).reshape(len(rest), 2)
     return Model(lexicon, fit_curve(features, np.array([r["toxic"] for r in rest])))
@@ -285,5 +292,13 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     held = fold(F.col("doc_id"), 4) == 2
     known = labels.filter("toxic IS NOT NULL").select("doc_id", "toxic")
-    labelled = rows.filter(~held & F.col("text").isNotNull()).join(known, "doc_id").select("text", "toxic")
-    return score(rows, fit(labelled)).select("doc_id", held.alias("held_out"), "score", "predicted", "n_matches")
+    # Labels meet hashes, not texts; at most SAMPLE distinct hashes per label then fetch their texts.
+    own = rows.filter(~held & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    keys = own.select("doc_id", "h").join(known, "doc_id").select(F.col("toxic").cast("string").alias("lang"), "h")
+    keys = cut(keys, "toxicity-keys")
+    last = bounds(keys, SAMPLE)
+    wanted = cut(keys.join(F.broadcast(last), "lang").filter("h <= last").select("lang", "h").distinct(), "toxicity-wanted")
+    model = fit_sample(own.join(F.broadcast(wanted), "h").dropDuplicates(["lang", "h"]).select("lang", "h", "text"))
+    for spent in (keys, wanted):
+        drop_cut(spent)
+    return score(rows, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_matches")
