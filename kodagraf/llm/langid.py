@@ -8,7 +8,7 @@ has a radius, the distance that nearly all of its own sample stays within: a tex
 of the radius of its nearest centroid is marked as rejected.
 
 Document frequencies cover all labelled texts. Only the k-means sample is bounded:
-``SAMPLE`` texts per language, those of the smallest text hashes.
+``SAMPLE`` distinct texts per language, those of the smallest text hashes.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def document_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def bounds(hashed: DataFrame, size: int) -> DataFrame:
-    """(lang, last): the hash at which the rows (lang, h) of a language, in order, reach ``size``."""
+    """(lang, last): the hash at which the distinct hashes of a language, in order, reach ``size``; copies count once."""
 
     def reached(counts: DataFrame, column: str) -> DataFrame:
         """The value at which the rows of a language, in order, reach ``size``; its last value if they are fewer."""
@@ -127,14 +127,14 @@ def bounds(hashed: DataFrame, size: int) -> DataFrame:
         return counts.withColumn("before", before).filter(F.col("before") < size).groupBy("lang").agg(F.max(column).alias("last"))
 
     # Counts of 65,536 ranges of hashes tell which range holds the bound, so no task meets all rows of a language.
-    ranged = hashed.withColumn("range", F.shiftright("h", 48))
+    ranged = hashed.select("lang", "h").distinct().withColumn("range", F.shiftright("h", 48))
     upto = reached(ranged.groupBy("lang", "range").agg(F.count("*").alias("n")), "range")
     near = ranged.join(F.broadcast(upto), "lang").filter(F.col("range") <= F.col("last"))
-    return reached(near.groupBy("lang", "h").agg(F.count("*").alias("n")), "h")
+    return reached(near.select("lang", "h", F.lit(1).alias("n")), "h")
 
 
 def sample(labelled: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` texts per language."""
+    """``size`` distinct texts per language, or all if they are fewer."""
     last = bounds(labelled.select("lang", F.xxhash64("text").alias("h")), size)
     return (
         labelled.withColumn("h", F.xxhash64("text"))

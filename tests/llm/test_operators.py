@@ -360,6 +360,22 @@ def test_language_id(spark, make_docs):
     assert {r["lang_pred"] for r in untaught} == {"und"}
 
 
+def by_hash(spark, texts):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").orderBy(F.xxhash64("text"))
+    return [r["text"] for r in rows.collect()]
+
+
+def test_sample_counts_copies_once(spark):
+    texts = by_hash(spark, [f"text {i}" for i in range(20)])
+    copied = [("a", x) for x in texts[:1] * 30 + texts[1:]] + [("b", x) for x in texts[:3] * 5]
+    labelled = spark.createDataFrame(copied, "lang string, text string").repartition(3)
+    for size in (8, 25):
+        got = sorted((r["lang"], r["text"]) for r in langid.sample(labelled, size).collect())
+        assert got == sorted([("a", x) for x in texts[:size]] + [("b", x) for x in texts[:3]])
+
+
 def test_ngram_pieces(monkeypatch):
     import numpy as np
     import pyarrow as pa
@@ -384,6 +400,17 @@ def test_toxicity(spark, make_docs):
     assert {r["predicted"] for r in nothing} == {0}
 
 
+def test_toxicity_with_many_copies(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    texts = by_hash(spark, [f"you bloody grobnik number {w}" for w in "abcdefghijklmnopqrstuvwxyz"])
+    toxic = [(i, x) for i, x in enumerate(texts[:1] * 60 + texts[1:])]
+    clean = [(1_000 + i, f"a calm day by the sea {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10]}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in toxic] + [(i, 0) for i, _ in clean], "doc_id long, toxic int")
+    rows = toxicity.report(make_docs(toxic + clean), labels).collect()
+    assert {r["n_matches"] > 0 for r in rows if r["doc_id"] < 1_000} == {True}
+    assert min(r["score"] for r in rows if r["doc_id"] < 1_000) > max(r["score"] for r in rows if r["doc_id"] >= 1_000)
+
+
 def test_toxicity_folding():
     assert toxicity.folded("ІDІОТ 1d1ot м0r0n $cum ｓtupid st\u200bupid 1984 a$$") == ["idiot", "idiot", "moron", "scum", "stupid", "stupid", "a"]
     lexicon = toxicity.Lexicon({" idiot ": 3.0, " scu": 2.0}, ["village idiot"])
