@@ -9,8 +9,9 @@ bear an edit are searched exactly, by the same pass.
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -82,49 +83,60 @@ class Scanner:
         if not words:
             return []
         joined = f" {' '.join(words)} "
-        stretches: dict[int, list[tuple[int, int]]] = {}
+        seeded: dict[int, set[int]] = {}  # where each seed puts the blank before its notice
         for end, (size, where) in self.seeds.iter(joined):
-            start = end - size + 1
             for k, offset in where:
-                n = self.notices[k]
-                low = start - offset - 1 - n.edits  # the blank before the phrase
-                stretches.setdefault(k, []).append((max(0, low), min(len(joined), low + len(n.phrase) + 2 + 2 * n.edits)))
-        if not stretches:
+                seeded.setdefault(k, set()).add(end - size - offset)
+        if not seeded:
             return []
         starts = np.cumsum([1] + [len(w) + 1 for w in words])
         found: list[tuple[int, int, int, int]] = []
-        for k, parts in stretches.items():
+        for k, blanks in seeded.items():
             n = self.notices[k]
-            parts.sort()
-            spans: set[tuple[int, int, int]] = set()
-            if not n.edits:
-                spans = {(a + 1, b - 1, 0) for a, b in parts}
-            else:
-                exact, size = f" {n.phrase} ", len(n.phrase)
-                a, b = parts[0]
-                for c, d in [*parts[1:], (len(joined) + 1, 0)]:
-                    if c <= b:  # stretches that touch are searched together
-                        b = max(b, d)
-                        continue
-                    place = joined.find(exact, a, b)
-                    while place >= 0:
-                        spans.add((place + 1, place + 1 + size, 0))
-                        place = joined.find(exact, place + 1, b)
-                    for m in self.fuzzy[k].finditer(joined, a, b):
-                        edits = sum(m.fuzzy_counts)
-                        if edits:
-                            spans.add((m.start(), m.end(), edits))
-                    a, b = c, d
-            taken: list[tuple[int, int]] = []
-            for s, e, edits in sorted(spans, key=lambda x: (x[2], x[0])):
+            exact, size = f" {n.phrase} ", len(n.phrase)
+            covered = bytearray(len(joined) if n.edits else 0)
+
+            def take(s: int, e: int, edits: int) -> None:
                 first = int(np.searchsorted(starts, s + (joined[s : s + 1] == " "), "right")) - 1
                 last = int(np.searchsorted(starts, max(s + 1, e - (joined[e - 1 : e] == " ")), "left"))
-                if edits and any(x < last and first < y for x, y in taken):
-                    continue  # a near place at an exact or closer one is the same notice
-                taken.append((first, last))
                 found.append((k, first, last, edits))
+                if n.edits:
+                    a, b = int(starts[first]), int(starts[last]) - 1  # whole words, without the blanks around them
+                    covered[a:b] = b"\x01" * (b - a)
+
+            for at in blanks:
+                if at >= 0 and joined.startswith(exact, at):
+                    take(at + 1, at + 1 + size, 0)
+            if n.edits:
+                self._near(k, joined, blanks, covered, take)
         return sorted(found, key=lambda x: (x[1], x[0]))
 
+    def _near(self, k: int, joined: str, blanks: set[int], covered: bytearray, take: Callable[[int, int, int], None]) -> None:
+        """Near places around seeds, closest first, in the words that no place covers yet.
+
+        Every place lies whole in the stretch of one of its seeds, so each stretch is searched by itself. When a
+        closer place takes a part of a stretch, what is left of it is searched again.
+        """
+        n = self.notices[k]
+        size = len(n.phrase) + 2
+        best: list[tuple[int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            while (a := covered.find(0, a, b)) >= 0:
+                to = covered.find(1, a, b)
+                to = b if to < 0 else to
+                if to - a >= size - n.edits and (m := self.fuzzy[k].search(joined, a, to)):
+                    heapq.heappush(best, (sum(m.fuzzy_counts), m.start(), m.end(), a, to))
+                a = to
+
+        for at in blanks:
+            search(max(0, at - n.edits), min(len(joined), at + size + n.edits))
+        while best:
+            edits, s, e, a, b = heapq.heappop(best)
+            if covered.find(1, s, e) < 0:  # else a near place at an exact or closer one is the same notice
+                take(s, e, edits)
+            search(a, b)
+
 
 RESULT = t.struct(
     n_words="long",

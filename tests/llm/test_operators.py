@@ -236,6 +236,18 @@ def test_license_edits():
     assert find("all the rest") == []
 
 
+def test_license_repeated_near_places():
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    find = lambda x: [(license_scan.NOTICES[k].label, a, b, e) for k, a, b, e in scanner.scan(x.split())]
+    swapped = [("reserved", 4 * i, 4 * i + 3, 2) for i in range(200)]
+    assert find("all rigths reserved x " * 200 + "all rights reserved") == [*swapped, ("reserved", 800, 803, 0)]
+    assert find("all rights reserved " + "all right reserved " * 200) == [
+        ("reserved", 3 * i, 3 * i + 3, int(i > 0)) for i in range(201)
+    ]
+    assert len(find("all rigths reserved all rights reserved " * 3_000)) == 6_000
+    assert find("all rights reservedfoo bar") == [("reserved", 0, 3, 1)]
+
+
 def test_sharding(spark, docs):
     rows = {r["doc_id"]: r for r in sharding.report(with_extras(docs)).collect()}
     texts = dict(pairs(docs))
