@@ -116,18 +116,23 @@ def reachable_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(shortest_paths(edges, requests), "query_id", "left")
 
 
-def cycles(edges: DataFrame, max_len: int = 3) -> DataFrame:
-    """(cycle array): every elementary cycle of up to ``max_len`` nodes, once, from its smallest node."""
-    hop = cut(pairs(edges).filter("src <> dst"), "cycles")
-    out = [
+def cycles(edges: DataFrame, max_len: int | None = None, self_edges: bool | None = None) -> DataFrame:
+    """(cycle array): every elementary cycle, once, from its smallest node; ``max_len`` bounds the number of nodes.
+
+    A self-edge is a cycle of one node; by default it is left out if there is a bound.
+    """
+    every = cut(pairs(edges), "cycles")
+    hop = every.filter("src <> dst")
+    out = [every.filter("src = dst").select(F.array("src").alias("cycle"))] if self_edges or (self_edges is None and max_len is None) else []
+    out += [
         hop.alias("a")
         .join(hop.alias("b"), (F.col("a.dst") == F.col("b.src")) & (F.col("a.src") == F.col("b.dst")))
         .filter("a.src < a.dst")
         .select(F.array("a.src", "a.dst").alias("cycle"))
     ]
-    if max_len >= 3:
+    if max_len is None or max_len >= 3:
         out.append(triangles(hop))
-    if max_len >= 4:
+    if max_len is None or max_len >= 4:
         out.append(_long_cycles(hop, max_len))
     return reduce(DataFrame.unionByName, out)
 
@@ -180,11 +185,11 @@ def canonical_cycle(cycle: Column) -> Column:
     return F.concat(F.slice(cycle, at, F.size(cycle)), F.slice(cycle, F.lit(1), at - 1))
 
 
-def _long_cycles(hop: DataFrame, max_len: int) -> DataFrame:
-    """Cycles of 4 and more nodes by growing paths from the smallest node.
+def _within_components(hop: DataFrame) -> DataFrame:
+    """The (src, dst) whose ends lie in one strongly connected component.
 
-    The number of paths is of the order of the number of cycles and can be very
-    large; nodes without an in-edge or out-edge are removed first.
+    Nodes without an in-edge or out-edge go first. Then every node gets the smallest node that reaches it, and
+    pairs between different ones go; then the same against the edges, until nothing goes.
     """
     before = -1
     while (size := hop.count()) != before:
@@ -192,16 +197,44 @@ def _long_cycles(hop: DataFrame, max_len: int) -> DataFrame:
         hop = hop.join(hop.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         hop = hop.join(hop.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         hop = cut(hop.select("src", "dst"), "cycles")
+    before = -1
+    while (size := hop.count()) != before:
+        before = size
+        for start, end in (("src", "dst"), ("dst", "src")):
+            least = hop.select(F.col("src").alias("id")).unionByName(hop.select(F.col("dst").alias("id"))).distinct()
+            least, open_ = cut(least.withColumn("least", F.col("id")), "cycles"), True
+            while open_:
+                handed = hop.join(least.withColumnRenamed("id", start), start).select(F.col(end).alias("id"), "least")
+                after = cut(least.withColumn("own", F.col("least")).unionByName(handed.withColumn("own", F.lit(None).cast("string")))
+                    .groupBy("id").agg(F.min("least").alias("least"), F.max("own").alias("own")), "cycles")
+                open_ = not after.filter("least <> own").isEmpty()
+                drop_cut(least)
+                least = after
+            least = least.select("id", "least")
+            ends = hop.join(least.select(F.col("id").alias("src"), F.col("least").alias("a")), "src")
+            ends = ends.join(least.select(F.col("id").alias("dst"), F.col("least").alias("b")), "dst")
+            hop = cut(ends.filter("a = b").select("src", "dst"), "cycles")
+    return hop
+
+
+def _long_cycles(hop: DataFrame, max_len: int | None) -> DataFrame:
+    """Cycles of 4 and more nodes by growing paths from the smallest node, inside strongly connected components.
+
+    The number of paths is of the order of the number of cycles and can be very large.
+    """
+    hop = _within_components(hop)
     paths = hop.filter("src < dst").select(F.array("src", "dst").alias("cycle"), F.col("dst").alias("last"))
     step = hop.select(F.col("src").alias("last"), "dst")
-    found = []
-    for length in range(3, max_len + 1):
+    closing = hop.select(F.col("src").alias("last"), F.col("dst").alias("first"))
+    found = [paths.select("cycle").limit(0)]
+    length = 2
+    while (max_len is None or length < max_len) and not paths.isEmpty():
+        length += 1
         grown = paths.join(step, "last").filter(
             (F.col("dst") > F.col("cycle")[0]) & ~F.array_contains("cycle", F.col("dst"))
         )
         paths = cut(grown.select(F.array_append("cycle", F.col("dst")).alias("cycle"), F.col("dst").alias("last")), "cycles")
         if length >= 4:
-            closing = hop.select(F.col("src").alias("last"), F.col("dst").alias("first"))
             closed = paths.withColumn("first", F.col("cycle")[0]).join(closing, ["last", "first"], "left_semi")
             found.append(closed.select("cycle"))
     return reduce(DataFrame.unionByName, found)

@@ -391,6 +391,11 @@ def _(spark, sf):
     return graph.components(to_customers)
 
 
+@register("components_all")
+def _(spark, sf):
+    return graph.components(ledger_calls(spark, sf))
+
+
 @register("pagerank", f"{PE}, {v.rank_rounds(RANK_ROUNDS)} SELECT id, round(score, 9) AS score FROM ranks")
 def _(spark, sf):
     return graph.pagerank(part_edges(spark, sf), max_iter=RANK_ROUNDS, tol=None).withColumn("score", F.round("score", 9))
@@ -455,6 +460,16 @@ def _(spark, sf):
     return modules.module_cycles(part_modules(spark, sf), 3).select(F.array_join("cycle", " > ").alias("cycle"))
 
 
+@register(
+    "module_cycles_all",
+    f"""{PE}, {PMOD}, walk AS (SELECT src AS a, dst AS z, [src, dst] AS path FROM mhop WHERE src < dst
+    UNION ALL SELECT a, dst, list_append(path, dst) FROM walk JOIN mhop ON src = z WHERE dst > a AND NOT list_contains(path, dst))
+    SELECT array_to_string(path, ' > ') AS cycle FROM walk JOIN mhop ON src = z AND dst = a""",
+)
+def _(spark, sf):
+    return modules.module_cycles(part_modules(spark, sf)).select(F.array_join("cycle", " > ").alias("cycle"))
+
+
 @register(
     "architecture_layers",
     f"""{L}, nodes AS (SELECT source_id AS id FROM lmod UNION SELECT target_id FROM lmod),

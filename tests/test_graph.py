@@ -86,6 +86,20 @@ def test_cycles_equal_brute_force(make_edges, seed):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_cycles_without_bound(make_edges):
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    two_rings = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "e")]
+    rows = [tuple(r.cycle) for r in graph.cycles(make_edges([*ring, *two_rings, ("r3", "a"), ("a", "a"), ("z", "z")])).collect()]
+    want = {tuple(f"r{i}" for i in range(7)), ("a", "b", "c", "d"), ("e", "f", "g"), ("a",), ("z",)}
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_pairs_within_strong_components(make_edges):
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e"), ("x", "a"), ("f", "y")]
+    hop = graph._within_components(graph.pairs(make_edges(pairs)))
+    assert {(r.src, r.dst) for r in hop.collect()} == {("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("e", "f"), ("f", "e")}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_union_find(make_edges, seed):
     pairs = random_pairs(60, 45, seed) + [(f"chain{i:02}", f"chain{i + 1:02}") for i in range(25)]
