@@ -285,9 +285,12 @@ def pagerank(
     max_iter: int = 100,
     tol: float | None = 1e-8,
     hub_rows: int = 1_000_000,
+    min_iter: int = 0,
 ) -> DataFrame:
     """(id, score) over the distinct pairs of an edge list; dangling mass is dropped.
 
+    Ends when no score changes by ``tol``, after ``min_iter`` rounds at least and ``max_iter`` at most.
+
     The out-edges of a hub are dealt to several partitions by a salt, and the edge
     list is laid out by (source, salt) once. A round then moves only the scores (with
     a copy for each salt) and the partially summed contributions.
@@ -316,7 +319,7 @@ def pagerank(
     )
     base = (1.0 - damping) / n
     state = nodes.select("nid", "deg", F.lit(1.0 / n).alias("score"))
-    for _ in range(max_iter):
+    for done in range(1, max_iter + 1):
         giving = state.filter("deg > 0").select(
             F.col("nid").alias("s"),
             (F.col("score") / F.col("deg")).alias("part"),
@@ -334,7 +337,7 @@ def pagerank(
         before, state = state, cut(total.select("nid", "deg", score.alias("score"), "prev"), "pagerank")
         if "prev" in before.columns:
             drop_cut(before)
-        if tol is not None and state.agg(F.max(F.abs(F.col("score") - F.col("prev")))).first()[0] < tol:
+        if tol is not None and done >= min_iter and state.agg(F.max(F.abs(F.col("score") - F.col("prev")))).first()[0] < tol:
             break
     layout.unpersist()
     return state.join(nodes.select("nid", "id"), "nid").select("id", "score")

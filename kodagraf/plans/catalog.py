@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: The rounds of the SQL. The queries go on after them until the scores converge.
 RANK_ROUNDS = 10
 
 
@@ -398,7 +399,7 @@ def _(spark, sf):
 
 @register("pagerank", f"{PE}, {v.rank_rounds(RANK_ROUNDS)} SELECT id, round(score, 9) AS score FROM ranks")
 def _(spark, sf):
-    return graph.pagerank(part_edges(spark, sf), max_iter=RANK_ROUNDS, tol=None).withColumn("score", F.round("score", 9))
+    return graph.pagerank(part_edges(spark, sf), min_iter=RANK_ROUNDS).withColumn("score", F.round("score", 9))
 
 
 # Modules
@@ -485,7 +486,7 @@ def _(spark, sf):
     f"{L}, mhop AS (SELECT source_id AS src, target_id AS dst FROM lmod), {v.rank_rounds(RANK_ROUNDS, 'mhop')} SELECT id AS module, round(score, 9) AS score FROM ranks",
 )
 def _(spark, sf):
-    ranked = modules.module_centrality(ledger_modules(spark, sf), max_iter=RANK_ROUNDS, tol=None)
+    ranked = modules.module_centrality(ledger_modules(spark, sf), min_iter=RANK_ROUNDS)
     return ranked.withColumn("score", F.round("score", 9))
 
 
@@ -530,7 +531,7 @@ map_rows AS (SELECT *, row_number() OVER (ORDER BY key DESC, module, rank_in_mod
 
 
 def part_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return repomap.importance(parts(spark, sf), part_edges(spark, sf), max_iter=RANK_ROUNDS, tol=None)
+    return repomap.importance(parts(spark, sf), part_edges(spark, sf), min_iter=RANK_ROUNDS)
 
 
 def part_map(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,6 +135,16 @@ def test_pagerank(make_edges, hub_rows):
     assert got == pytest.approx(python_rank(pairs, 8))
 
 
+def test_rank_queries_go_on_until_converged(spark, make_edges, monkeypatch):
+    from kodagraf.plans import catalog
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "d")]
+    monkeypatch.setattr(catalog, "RANK_ROUNDS", 1)
+    monkeypatch.setattr(catalog, "part_edges", lambda spark, sf: make_edges(pairs))
+    got = {r.id: r.score for r in catalog.QUERIES["pagerank"](spark, "").collect()}
+    assert got == pytest.approx(python_rank(pairs, 20), abs=1e-7)
+
+
 def test_pagerank_converges_and_drops_dangling_mass(make_edges):
     got = {r.id: r.score for r in graph.pagerank(make_edges(CHAIN)).collect()}
     assert list(got.values()) and sum(got.values()) < 1
