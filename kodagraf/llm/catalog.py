@@ -13,8 +13,11 @@ from kodagraf.llm import (
     langid,
     license_scan,
     line_dedup,
+    prefix_trie,
     quality,
+    ranked_search,
     sharding,
+    substring_dedup,
     toxicity,
     url_filter,
 )
@@ -66,6 +69,18 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.report(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.report(_table(spark, sf, "conversations"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +100,9 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_url_filter,
         op10_toxicity,
+        op11_ranked_search,
+        op12_prefix_trie,
+        op13_substring_dedup,
         pipeline,
     )
 }
@@ -93,4 +111,7 @@ SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality.SQL,
     "op9_url_filter": url_filter.SQL,
+    "op11_ranked_search": ranked_search.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_substring_dedup": substring_dedup.SQL,
 }

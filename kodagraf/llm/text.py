@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 PIECE = 4 << 20
 LONG_WORD = 64
 
-LOWER = np.arange(256, dtype=np.uint8)
+AS_IS = np.arange(256, dtype=np.uint8)
+LOWER = AS_IS.copy()
 LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTES = np.arange(256)
 #: ``[^\x20\x09-\x0D]`` and ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``, the latter after lower-casing.
@@ -116,8 +117,10 @@ def _hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and the offsets of each text's words."""
+def word_hashes(
+    raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, fold: np.ndarray = LOWER
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts after ``fold``, and the offsets of each text's words."""
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     if len(raw) > PIECE and len(offsets) == 2:
@@ -125,16 +128,16 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
         while at < len(raw):
             end = min(at + PIECE, len(raw))
             while end < len(raw):  # on to the end of the word
-                stop = np.flatnonzero(~kind[LOWER[raw[end : end + PIECE]]])
+                stop = np.flatnonzero(~kind[fold[raw[end : end + PIECE]]])
                 end += int(stop[0]) if len(stop) else min(PIECE, len(raw) - end)
                 if len(stop):
                     break
-            low = LOWER[raw[at:end]]
+            low = fold[raw[at:end]]
             found.append(_hash(low, *_bounds(low, np.array([0, end - at]), kind)))
             at = end
         h = np.concatenate(found)
         return h, np.array([0, len(h)], np.int64)
-    low = LOWER[raw]
+    low = fold[raw]
     starts, ends = _bounds(low, offsets, kind)
     return _hash(low, starts, ends), np.searchsorted(starts, offsets, "left")
 

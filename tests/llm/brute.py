@@ -107,3 +107,65 @@ def quality(text):
         len(hit),
         len(words) < 20 or 100 * len(hit) > 30 * len(words),
     )
+
+
+def ranked(docs, items, best=50):
+    import math
+
+    tf = [(i, Counter(WORD.findall((t or "").translate(LOWER)))) for i, t in docs]
+    tf = [(i, c) for i, c in tf if c]
+    n_docs, n_terms = len(tf), sum(c.total() for _, c in tf)
+    df = Counter(w for _, c in tf for w in c)
+    out = []
+    for k, t in items:
+        found = []
+        for i, c in tf:
+            m = 100 - 50 + (50 * c.total() * n_docs) // n_terms
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (1_000_000_000 * c[w] // (1000 * c[w] + 20 * m))
+                for w in set(WORD.findall((t or "").translate(LOWER)))
+                if c[w]
+            )
+            if score > 0:
+                found.append((-score, i is None, i))
+        found.sort(key=lambda x: (x[0], x[1], x[2] or 0))
+        out += [(k, r, i, -s) for r, (s, _, i) in enumerate(found[:best], 1)]
+    return out
+
+
+def trie(rows):
+    import zlib
+
+    held = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            held[c].append((turn is not None, turn or 0, role or "", hashlib.md5((text or "").encode()).hexdigest(), text or ""))
+    turns = {c: [(x[2], x[4]) for x in sorted(v)] for c, v in held.items()}
+    whole = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        whole[c] = tuple(turns.get(c - int(c % 5 if c >= 0 else -(-c % 5)), [])[:h] + own[h:])
+    members = defaultdict(list)
+    for c, x in whole.items():
+        for d in range(len(x) + 1):
+            members[x[:d]].append(c)
+    kids = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += p not in kids
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1].encode()) if p else 0
+    return sorted(
+        (min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], sha(",".join(str(c) for c in sorted(m) if whole[c] == p)))
+        for p, m in members.items()
+    )
+
+
+def repeats(docs, width=35):
+    words = [RUN.findall(t or "") for _, t in docs]
+    seen = Counter(tuple(w[a : a + width]) for w in words for a in range(len(w) - width + 1))
+    out = []
+    for (i, _), w in zip(docs, words):
+        gone = {p for a in range(len(w) - width + 1) if seen[tuple(w[a : a + width])] > 1 for p in range(a, a + width)}
+        out.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    return out
