@@ -291,6 +291,7 @@ def _found(docs: DataFrame, width: int, finish: Finish) -> DataFrame:
     spark = docs.sparkSession
     named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
     text = f"_c{docs.columns.index('text')}"
+    fields = [T.StructField(f.name, f.dataType) for f in named.schema.fields]  # null in rows of other kinds
     size = named.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(-(-size // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")))
     sharded = named.withColumn("shard", F.pmod(F.xxhash64(*[F.col(c) for c, kind in named.dtypes if not kind.startswith(("map", "variant"))]), F.lit(n)).cast("int"))
@@ -321,7 +322,7 @@ def _found(docs: DataFrame, width: int, finish: Finish) -> DataFrame:
     known = cut(known.select("shard", F.lit(KNOWN).alias("kind"), "a", "mixed"), "phrases-known")
     drop_cut(chosen)
 
-    first = T.StructType([*FIRST.fields, *RESULT.fields, *named.schema.fields])
+    first = T.StructType([*FIRST.fields, *RESULT.fields, *fields])
     arrow = to_arrow_schema(first)
     seen = dealt(known, sharded.withColumn("kind", F.lit(DOCUMENT)))
     seen = cut(seen.mapInArrow(lambda rows: _first_pass(rows, text, arrow, width, finish), first), "phrases-seen")
@@ -330,7 +331,7 @@ def _found(docs: DataFrame, width: int, finish: Finish) -> DataFrame:
     counted = seen.filter(F.col("kind") == COUNTED).select("shard", "a", "w", "n")
     twice = counted.groupBy("a", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "w")
     confirmed = counted.select("shard", "a", "w").join(twice, ["a", "w"]).distinct()
-    second = T.StructType([*RESULT.fields, *[f for f in named.schema.fields if f.name != text]])
+    second = T.StructType([*RESULT.fields, *[f for f in fields if f.name != text]])
     arrow_second = to_arrow_schema(second)
     rest = dealt(
         seen.filter(F.col("kind") == PATTERN).select("shard", F.lit(KNOWN).alias("kind"), "a", "mixed", "phrase").distinct(),

@@ -21,9 +21,9 @@ def ranked(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("small", [{}, {"BUCKET": 7, "SEEDS": 5, "BLOCK": 600}, {"COORDINATES": 40, "SLICE": 3_000}])
-def test_ranked_search(docs, items, monkeypatch, small):  # noqa: F811
-    for k, v in small.items():
+@pytest.mark.parametrize("tuned", [{}, {"BUCKET": 7, "SEEDS": 5, "BLOCK": 9_000, "COORDINATES": 400, "SLICE": 3_000}])
+def test_ranked_search(docs, items, monkeypatch, tuned):  # noqa: F811
+    for k, v in tuned.items():
         monkeypatch.setattr(ranked_search, k, v)
     want = brute.ranked(pairs(docs), list(dict.fromkeys(map(tuple, items.collect()))), 9)
     assert ranked(ranked_search.search(with_extras(docs), items, 9)) == sorted(want, key=repr)
@@ -61,8 +61,9 @@ AWKWARD = [
 ]
 
 
-@pytest.mark.parametrize("rows", [conversations(1, 60, 12), conversations(2, 25, 90), AWKWARD], ids=["wide", "deep", "awkward"])
-@pytest.mark.parametrize("turns", [None, 20])
+@pytest.mark.parametrize(
+    "rows,turns", [(conversations(1, 60, 12), None), (conversations(1, 60, 12), 60), (conversations(2, 25, 90), None), (AWKWARD, None), (AWKWARD, 2)]
+)
 def test_prefix_trie(spark, monkeypatch, rows, turns):
     if turns:  # shared prefixes are peeled by Spark, level by level
         monkeypatch.setattr(prefix_trie, "TURNS", turns)
@@ -84,10 +85,10 @@ def texts(seed, n):
     return {i: "\n ".join(parts()) for i in range(n)}
 
 
-@pytest.mark.parametrize("small", [{}, {"SHARD": 500, "SLICE": 300, "PIECE_WORDS": 37}])
+@pytest.mark.parametrize("tuned", [{}, {"SHARD": 500, "SLICE": 300, "PIECE_WORDS": 37}])
 @pytest.mark.parametrize("width", [12, 19, 35])
-def test_repeated_passages(spark, make_docs, monkeypatch, small, width):
-    for k, v in small.items():
+def test_repeated_passages(spark, make_docs, monkeypatch, tuned, width):
+    for k, v in tuned.items():
         monkeypatch.setattr(substring_dedup, k, v)
     some = texts(width, 40) | {90: "word " * 400, 91: "a b " * 60, 92: None, 93: "", 94: " \t", 95: "x " * (width - 1), 96: "tail " + "x " * (width + 3)}
     rows = [*some.items(), (3, some[3]), (None, some[4]), (97, " ".join(f"w{i % 97}" for i in range(5_000)))]
