@@ -275,9 +275,13 @@ def nodes(conversations: DataFrame) -> DataFrame:
         starts = tops.filter((F.col("ends") & (F.col("depth") == depth)) | (~F.col("ends") & (F.col("depth") == depth + 1)))
         children = starts if below is None else starts.unionByName(below, allowMissingColumns=True)
         level = cut(_level(children, depth), f"trie-level{depth}")
-        parents = level.select("key", F.col("conv_id").alias("parent_conv_id"))
-        parents = F.broadcast(parents) if level.count() <= SENT else parents
-        kids = children.filter(~F.col("ends")).drop("parent_conv_id").withColumn("key", _key_at(depth)).join(parents, "key")
+        kids = children.filter(~F.col("ends")).drop("parent_conv_id").withColumn("key", _key_at(depth))
+        if depth:
+            parents = level.select("key", F.col("conv_id").alias("parent_conv_id"))
+            kids = kids.join(F.broadcast(parents) if level.count() <= SENT else parents, "key")
+        else:  # the root is one row
+            root = level.first()
+            kids = kids.withColumn("parent_conv_id", F.lit(root and root["conv_id"]).cast("long"))
         result.append(kids)
         below = level.drop("key")
     result.append(below.withColumn("parent_conv_id", F.lit(None).cast("long")))
