@@ -227,7 +227,7 @@ def _block(docs: DataFrame, texts: list[str | None], best: int) -> DataFrame | N
     # Cauchy-Schwarz for whole rows, so that the scan skips what no item can want.
     sizes = np.diff(items.starts)
     least = float((floor[sizes > 0] / np.sqrt(sizes[sizes > 0])).min()) / SLACK if (sizes > 0).any() else 0.0
-    by_norm = vectors.filter(F.col("norm") >= least).repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm"))
+    by_norm = vectors.filter(F.col("norm") >= least).repartitionByRange(F.desc("norm"), "doc").sortWithinPartitions(F.desc("norm"))
     return _top(_searched(by_norm, items, floor, best), best)
 
 
