@@ -117,26 +117,83 @@ def reachable_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, max_len: int | None = None, self_edges: bool | None = None) -> DataFrame:
-    """(cycle array): every elementary cycle, once, from its smallest node; ``max_len`` bounds the number of nodes.
+    """(cycle array): cycles from their smallest node, each once.
 
+    Without ``max_len`` every edge that lies on a cycle is shown on one: a shortest cycle through it, of several
+    the one whose nodes from the edge's end on are smallest. These are at most as many as there are edges. With
+    ``max_len`` all elementary cycles of at most so many nodes are listed, whose number has no such bound.
     A self-edge is a cycle of one node; by default it is left out if there is a bound.
     """
     every = cut(pairs(edges), "cycles")
     hop = every.filter("src <> dst")
     out = [every.filter("src = dst").select(F.array("src").alias("cycle"))] if self_edges or (self_edges is None and max_len is None) else []
+    if max_len is None:
+        return reduce(DataFrame.unionByName, [*out, _cycle_of_each_edge(_within_components(hop))])
     out += [
         hop.alias("a")
         .join(hop.alias("b"), (F.col("a.dst") == F.col("b.src")) & (F.col("a.src") == F.col("b.dst")))
         .filter("a.src < a.dst")
         .select(F.array("a.src", "a.dst").alias("cycle"))
     ]
-    if max_len is None or max_len >= 3:
+    if max_len >= 3:
         out.append(triangles(hop))
-    if max_len is None or max_len >= 4:
+    if max_len >= 4:
         out.append(_long_cycles(hop, max_len))
     return reduce(DataFrame.unionByName, out)
 
 
+def _cycle_of_each_edge(hop: DataFrame) -> DataFrame:
+    """(cycle): a shortest cycle through each (src, dst), all of which lie in strongly connected components.
+
+    For an edge s -> t the way back from t to s is sought by two frontiers: the least paths of i steps
+    from t, and of j steps to s. They meet in a node when i + j is the length of the way; the
+    smaller frontier of an edge is joined with the other. So no frontier goes further than
+    half the way, and edges with a cycle leave both.
+    """
+    ids = hop.select(F.col("src").alias("id")).unionByName(hop.select(F.col("dst").alias("id"))).distinct()
+    # Numbers in the order of the ids; written at once, so they stay as they are.
+    ids = cut(ids.orderBy("id").withColumn("n", F.monotonically_increasing_id()), "cycles-ids")
+    step = hop.join(ids.select(F.col("id").alias("src"), F.col("n").alias("s")), "src")
+    step = cut(step.join(ids.select(F.col("id").alias("dst"), F.col("n").alias("t")), "dst").select("s", "t"), "cycles-step")
+    back = step.join(step.select(F.col("s").alias("t"), F.col("t").alias("s")), ["s", "t"], "left_semi")
+    found = [cut(back.select("s", "t", F.array("t", "s").alias("way")), "cycles-found")]
+    todo = cut(step.join(found[0].select("s", "t"), ["s", "t"], "left_anti"), "cycles-open")
+    ahead = step.select(F.col("s").alias("t"), F.col("t").alias("x"), F.array("s", "t").alias("ahead"))
+    behind = step.select(F.col("t").alias("s"), F.col("s").alias("x"), F.array("s", "t").alias("behind"))
+    length = 1
+    while not todo.isEmpty():
+        length += 1
+        if length > 2:  # one more step for the frontier that is behind
+            if length % 2:
+                grown = ahead.join(todo.select("t").distinct(), "t", "left_semi").join(
+                    step.select(F.col("s").alias("x"), F.col("t").alias("y")), "x"
+                )
+                ahead = grown.groupBy("t", F.col("y").alias("x")).agg(F.min(F.array_append("ahead", F.col("y"))).alias("ahead"))
+                ahead = cut(ahead, "cycles-ahead")
+            else:
+                grown = behind.join(todo.select("s").distinct(), "s", "left_semi").join(
+                    step.select(F.col("t").alias("x"), F.col("s").alias("y")), "x"
+                )
+                behind = grown.groupBy("s", F.col("y").alias("x")).agg(F.min(F.array_prepend("behind", F.col("y"))).alias("behind"))
+                behind = cut(behind, "cycles-behind")
+        size_t = ahead.groupBy("t").agg(F.count("*").alias("n_ahead"))
+        size_s = behind.groupBy("s").agg(F.count("*").alias("n_behind"))
+        sized = todo.join(size_t, "t").join(size_s, "s")
+        from_t = sized.filter("n_ahead <= n_behind").select("s", "t").join(ahead, "t").join(behind, ["s", "x"])
+        from_s = sized.filter("n_ahead > n_behind").select("s", "t").join(behind, "s").join(ahead, ["t", "x"])
+        met = from_t.unionByName(from_s, allowMissingColumns=True)
+        way = F.concat("ahead", F.slice("behind", 2, F.size("behind")))
+        found.append(cut(met.groupBy("s", "t").agg(F.min(way).alias("way")), "cycles-found"))
+        left = cut(todo.join(found[-1].select("s", "t"), ["s", "t"], "left_anti"), "cycles-open")
+        drop_cut(todo)
+        todo = left
+    ways = reduce(DataFrame.unionByName, found)
+    distinct = cut(ways.select(canonical_cycle(F.col("way")).alias("ids")).distinct(), "cycles-ways")
+    named = distinct.select("ids", F.posexplode("ids").alias("at", "n")).join(ids, "n")
+    whole = named.groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("c"))  # one cycle's nodes
+    return whole.select(F.col("c.id").alias("cycle"))
+
+
 def triangles(hop: DataFrame) -> DataFrame:
     """Directed 3-cycles, found at their node of least degree.
 
@@ -217,7 +274,7 @@ def _within_components(hop: DataFrame) -> DataFrame:
     return hop
 
 
-def _long_cycles(hop: DataFrame, max_len: int | None) -> DataFrame:
+def _long_cycles(hop: DataFrame, max_len: int) -> DataFrame:
     """Cycles of 4 and more nodes by growing paths from the smallest node, inside strongly connected components.
 
     The number of paths is of the order of the number of cycles and can be very large.
@@ -228,7 +285,7 @@ def _long_cycles(hop: DataFrame, max_len: int | None) -> DataFrame:
     closing = hop.select(F.col("src").alias("last"), F.col("dst").alias("first"))
     found = [paths.select("cycle").limit(0)]
     length = 2
-    while (max_len is None or length < max_len) and not paths.isEmpty():
+    while length < max_len and not paths.isEmpty():
         length += 1
         grown = paths.join(step, "last").filter(
             (F.col("dst") > F.col("cycle")[0]) & ~F.array_contains("cycle", F.col("dst"))

@@ -94,6 +94,30 @@ def test_cycles_without_bound(make_edges):
     assert len(rows) == len(want) and set(rows) == want
 
 
+@pytest.mark.parametrize("seed,n,m", [(3, 12, 30), (4, 25, 45), (5, 40, 60)])
+def test_a_shortest_cycle_of_each_edge(make_edges, seed, n, m):
+    pairs = random_pairs(n, m, seed)
+    after = {}
+    for s, t in pairs:
+        after.setdefault(s, set()).add(t)
+
+    def turned(c):
+        at = c.index(min(c))
+        return c[at:] + c[:at]
+
+    want = set()
+    for s, t in set(pairs):
+        ways = [(t,)]
+        for _ in range(n):
+            closed = [w for w in ways if w[-1] == s]
+            if closed:
+                want.add(turned(min(closed)))
+                break
+            ways = [(*w, x) for w in ways for x in sorted(after.get(w[-1], ())) if x not in w]
+    rows = [tuple(r.cycle) for r in graph.cycles(make_edges(pairs)).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_pairs_within_strong_components(make_edges):
     pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e"), ("x", "a"), ("f", "y")]
     hop = graph._within_components(graph.pairs(make_edges(pairs)))

@@ -3,14 +3,19 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from kodagraf.plans import catalog
 from tests import oracle_check
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_registry():
+    """Every query has SQL but those that its catalogue names, with the reason beside them."""
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"search_fuzzy", "resolve_requests_fuzzy"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == set(catalog.WITHOUT_SQL)
+    if entry.llm:
+        assert set(entry.llm.QUERIES) - set(entry.llm.SQL) == set(entry.llm.WITHOUT_SQL)
+    assert set(entry.queries()) == set(catalog.QUERIES) | set(entry.llm.QUERIES if entry.llm else ())
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
