@@ -107,6 +107,18 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+#: Queries without SQL, and why.
+WITHOUT_SQL: dict[str, str] = {
+    "op1_language_id": "learned centroids",
+    "op3_decontamination": "tested against a plain version",
+    "op4_jaccard_join": "too slow in SQL on whole tables; tested against a plain version",
+    "op5_license_scan": "labels of near places",
+    "op6_sharding": "hashes that SQL does not have",
+    "op7_bpe": "tested against the library",
+    "op10_toxicity": "learned weights",
+    "pipeline": "holds op4 and op7",
+}
+
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality.SQL,
