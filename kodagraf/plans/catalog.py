@@ -240,12 +240,9 @@ def _(spark, sf):
 
 # Search
 
-SEARCH_SQL = """q AS (SELECT DISTINCT w1 AS query_id, w1 AS query FROM units UNION SELECT name, name FROM top),
-names AS (SELECT DISTINCT name FROM units),
-hits AS (SELECT query_id, query, name, CASE WHEN lower(name) = lower(query) THEN 1.0::DOUBLE ELSE least(0.8::DOUBLE + 0.2::DOUBLE * length(query) / length(name), 0.99::DOUBLE) END AS score,
-         CASE WHEN lower(name) = lower(query) THEN 0 ELSE 1 END AS tier FROM q JOIN names ON starts_with(lower(name), lower(query))),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier, name) AS rank FROM hits QUALIFY rank <= {limit}),
-firsts AS (SELECT name, id, file_path FROM units QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, id) = 1)"""
+FIRSTS = "firsts AS (SELECT name, id, file_path FROM units QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, id) = 1)"
+FOUND = """SELECT query_id, name, id, round_even(score, 3) AS match_score,
+    CASE WHEN score >= 0.99 THEN 'exact' WHEN score >= 0.8 THEN 'prefix' ELSE 'fuzzy' END AS match_type, rank FROM best JOIN firsts USING (name)"""
 
 
 def search_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,15 +253,17 @@ def search_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "search_tiers",
-    f"""{PT}, {SEARCH_SQL.format(limit=10)} SELECT query_id, name, id, round_even(score, 3) AS match_score,
-    CASE WHEN score >= 0.99 THEN 'exact' WHEN score >= 0.8 THEN 'prefix' ELSE 'fuzzy' END AS match_type, rank FROM best JOIN firsts USING (name)""",
+    f"{PT}, asked AS (SELECT DISTINCT w1 AS query_id, w1 AS query FROM units UNION SELECT name, name FROM top), {v.search('asked', 10)}, {FIRSTS} {FOUND}",
 )
 def _(spark, sf):
-    found = search.search_symbols(parts(spark, sf), search_requests(spark, sf), 10, fuzzy=False)
+    found = search.search_symbols(parts(spark, sf), search_requests(spark, sf), 10)
     return found.select("query_id", "name", "id", "match_score", "match_type", "rank")
 
 
-@register("search_fuzzy")
+@register(
+    "search_fuzzy",
+    f"{PT}, asked AS (SELECT DISTINCT w2 || '_' || w1 AS query_id, w2 || '_' || w1 AS query FROM units), {v.search('asked', 10)}, {FIRSTS} {FOUND}",
+)
 def _(spark, sf):
     swapped = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("_"), F.split_part("p_name", F.lit(" "), F.lit(1)))
     requests = tables.table(spark, sf, "part").select(swapped.alias("query_id")).distinct().withColumn("query", F.col("query_id"))
@@ -274,7 +273,7 @@ def _(spark, sf):
 
 @register(
     "search_with_context",
-    f"""{PT}, {SEARCH_SQL.format(limit=50).replace("q AS (SELECT DISTINCT w1 AS query_id, w1 AS query FROM units UNION SELECT name, name FROM top)", "q AS (SELECT query_id, substr(name, 1, 3) AS query FROM top)")},
+    f"""{PT}, asked AS (SELECT query_id, substr(name, 1, 3) AS query FROM top), {v.search("asked", 50)}, {FIRSTS},
     b AS (SELECT best.query_id, best.rank, firsts.id,
       round_even(least(round_even(score, 3) + CASE WHEN firsts.file_path = top.file_path THEN 0.3::DOUBLE
         WHEN regexp_replace(firsts.file_path, '/[^/]*$', '') = regexp_replace(top.file_path, '/[^/]*$', '') THEN 0.15::DOUBLE
@@ -284,8 +283,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     requests = brand_pick(spark, sf).select("query_id", F.substring("name", 1, 3).alias("query"), F.col("file_path").alias("file_context"))
-    found = search.search_with_context(parts(spark, sf), requests, fuzzy=False)
-    return found.select("query_id", "id", "match_score", "position")
+    return search.search_with_context(parts(spark, sf), requests).select("query_id", "id", "match_score", "position")
 
 
 # Graph
@@ -1054,15 +1052,22 @@ def _(spark, sf):
     return user_texts(spark, sf).select("conv_id", "turn", F.posexplode(query_symbols(F.col("text"))).alias("position", "term"))
 
 
-RQ = v.with_views(PARTS, EDGES, v.REQUESTS)
+SYMBOLS = QUERY_SYMBOLS.replace("firsts", "symbols")
+TERMS = "terms AS MATERIALIZED (SELECT conv_id AS query_id, w AS term, row_number() OVER (PARTITION BY conv_id, turn ORDER BY grp, i) - 1 AS position FROM symbols)"
+RQ = v.with_views(PARTS, EDGES, v.REQUESTS, "asks AS (SELECT query_id AS conv_id, 0 AS turn, query AS text FROM req)", SYMBOLS, TERMS, v.resolved("terms", "req"))
+USER_REQUESTS = """req AS (SELECT conv_id || '/' || turn AS query_id, text AS query FROM conversations WHERE role = 'user' AND length(text) BETWEEN 1 AND 1000 AND trim(text) <> ''),
+asks AS (SELECT query_id AS conv_id, 0 AS turn, query AS text FROM req)"""
 
 
 @register("resolve_requests", f"{RQ} SELECT query_id, unit_id, position FROM focal")
 def _(spark, sf):
-    return context.resolve_requests(parts(spark, sf), supplier_requests(spark, sf), fuzzy=False)
+    return context.resolve_requests(parts(spark, sf), supplier_requests(spark, sf))
 
 
-@register("resolve_requests_fuzzy")
+@register(
+    "resolve_requests_fuzzy",
+    f"{v.with_views(PARTS, USER_REQUESTS, SYMBOLS, TERMS, v.resolved('terms', 'req'))} SELECT query_id, unit_id, position FROM focal",
+)
 def _(spark, sf):
     asked = user_texts(spark, sf).select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
     return context.resolve_requests(parts(spark, sf), asked)
@@ -1084,7 +1089,7 @@ bundle AS (
 
 
 def supplier_bundle(spark: SparkSession, sf: str, config: BuildConfig = BuildConfig()) -> DataFrame:
-    return context.build_context(parts(spark, sf), part_edges(spark, sf), supplier_requests(spark, sf), config, fuzzy=False)
+    return context.build_context(parts(spark, sf), part_edges(spark, sf), supplier_requests(spark, sf), config)
 
 
 BUNDLE_COLS = "query_id section position id unit_kind file_path start_line signature body docstring near".split()
@@ -1142,7 +1147,7 @@ SYMBOL_FOCAL = FIRST.replace("q.query_id, q.wanted, u.*", "q.query_id, u.id AS u
 @register("context_for_symbol", f"{PET}, q AS (SELECT query_id, name AS wanted FROM top), {SYMBOL_FOCAL}, {BUNDLE} {BUNDLE_SQL}")
 def _(spark, sf):
     requests = brand_pick(spark, sf).select("query_id", "name")
-    return context.context_for_symbols(parts(spark, sf), part_edges(spark, sf), requests, fuzzy=False).select(*BUNDLE_COLS)
+    return context.context_for_symbols(parts(spark, sf), part_edges(spark, sf), requests).select(*BUNDLE_COLS)
 
 
 @register(
@@ -1160,7 +1165,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     requests = brand_pick(spark, sf).select("query_id", "name")
-    return context.symbol_context(parts(spark, sf), part_edges(spark, sf), requests, fuzzy=False).select("query_id", "id", "relation")
+    return context.symbol_context(parts(spark, sf), part_edges(spark, sf), requests).select("query_id", "id", "relation")
 
 
 # Change streams

@@ -78,15 +78,6 @@ REQUESTS = """
 req AS (
   SELECT 's' || s_suppkey AS query_id, 'Refactor `' || a.name || '` to call `' || b.name || '`' AS query, a.name AS name_a, b.name AS name_b
   FROM supplier JOIN units a ON a.k = s_suppkey JOIN units b ON b.k = s_suppkey + 1
-), asked AS (
-  SELECT query_id, name_a AS wanted, 0 AS pos FROM req UNION ALL SELECT query_id, name_b, 1 FROM req
-), firsts AS (
-  SELECT w.wanted, u.id FROM (SELECT DISTINCT wanted FROM asked) w JOIN units u ON lower(u.name) = lower(w.wanted)
-  QUALIFY row_number() OVER (PARTITION BY w.wanted ORDER BY u.name <> w.wanted, u.file_path, u.start_line, u.id) = 1
-), focal0 AS (
-  SELECT query_id, id AS unit_id, min(pos) AS pos FROM asked JOIN firsts USING (wanted) GROUP BY ALL
-), focal AS (
-  SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS position FROM focal0
 )"""
 
 DOCS = """
@@ -144,3 +135,56 @@ scores AS (
 ), mods AS (
   SELECT module, avg(score) AS importance, count(*) AS symbol_count, split_part(module, '/', -1) AS module_name FROM entries GROUP BY module
 )"""
+
+
+def similar(pairs: str, p: str) -> str:
+    """View ``{p}ratio`` (a, b, ratio): twice the letters in matching blocks over all letters, for distinct pairs (a, b).
+
+    The longest common block is found first (of several the one that starts first in a, then in b), then the
+    same is done left and right of it. Right for b below 200 letters, above which the matcher drops frequent ones.
+    """
+    block = (
+        "list_max(list_transform(range(1, length({a}) + 1), lambda x: "
+        "{{'k': len(list_filter(range(1, length({a}) - x + 2), lambda y: contains({b}, substr({a}, x, y)))), 'i': -x}}))"
+    )
+    return f"""{p}pair AS MATERIALIZED (SELECT row_number() OVER () AS pid, a, b FROM {pairs} WHERE a <> '' AND b <> ''),
+{p}cut AS (
+  SELECT pid, a AS sa, b AS sb, {block.format(a="a", b="b")} AS m FROM {p}pair
+  UNION ALL
+  SELECT pid, sa, sb, {block.format(a="sa", b="sb")} FROM (
+    SELECT pid, unnest([left(sa, -m.i - 1), substr(sa, m.k - m.i)]) AS sa, unnest([left(sb, j - 1), substr(sb, j + m.k)]) AS sb
+    FROM (SELECT *, instr(sb, substr(sa, -m.i, m.k)) AS j FROM {p}cut WHERE m.k > 0)) WHERE sa <> '' AND sb <> ''
+), {p}ratio AS MATERIALIZED (SELECT a, b, 2.0::DOUBLE * r.n / (length(a) + length(b)) AS ratio FROM {p}pair JOIN (SELECT pid, sum(m.k) AS n FROM {p}cut GROUP BY pid) r USING (pid))"""
+
+
+def search(asked: str, limit: int, p: str = "") -> str:
+    """View ``{p}best`` (query_id, query, name, score, tier, rank) for requests (query_id, query): equal names, prefixes, similar names."""
+    return f"""{p}q AS MATERIALIZED (SELECT query_id, query, lower(query) AS lq FROM {asked} WHERE length(query) > 0),
+{p}names AS MATERIALIZED (SELECT DISTINCT name, lower(name) AS ln FROM units),
+{p}hits AS MATERIALIZED (SELECT query_id, query, name, CASE WHEN ln = lq THEN 1.0::DOUBLE ELSE least(0.8::DOUBLE + 0.2::DOUBLE * length(query) / length(name), 0.99::DOUBLE) END AS score,
+         CASE WHEN ln = lq THEN 0 ELSE 1 END AS tier, 0 AS pos FROM {p}q JOIN {p}names ON starts_with(ln, lq)),
+{p}short AS MATERIALIZED (SELECT query_id, query FROM {p}q LEFT JOIN (SELECT query_id, count(*) AS n FROM {p}hits GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < {limit}),
+{p}grid AS (SELECT DISTINCT name AS a, query AS b FROM {p}short JOIN {p}names ON 2.0 * least(length(query), length(name)) >= 0.3 * (length(query) + length(name))),
+{similar(p + "grid", p + "x")},
+{p}close AS MATERIALIZED (SELECT query_id, query, a AS name, row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, a DESC) AS pos FROM {p}short JOIN {p}xratio ON b = query
+  WHERE ratio >= 0.3 QUALIFY pos <= {2 * limit}),
+{p}lows AS (SELECT DISTINCT lower(query) AS a, lower(name) AS b FROM {p}close),
+{similar(p + "lows", p + "y")},
+{p}every AS (SELECT * FROM {p}hits UNION ALL
+  SELECT query_id, query, name, ratio, 2, pos FROM {p}close JOIN {p}yratio ON a = lower(query) AND b = lower(name) WHERE ratio >= 0.3 AND NOT starts_with(lower(name), lower(query))),
+{p}best AS (SELECT query_id, query, name, score, tier, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier, pos, name) AS rank FROM {p}every QUALIFY rank <= {limit})"""
+
+
+def resolved(terms: str, asked: str, limit: int = 10) -> str:
+    """View ``focal`` (query_id, unit_id, position) for terms (query_id, term, position) and whole requests (query_id, query)."""
+    return f"""wanted AS MATERIALIZED (SELECT DISTINCT term FROM {terms}),
+exact AS MATERIALIZED (SELECT term, id FROM wanted JOIN units ON lower(name) = lower(term)
+  QUALIFY row_number() OVER (PARTITION BY term ORDER BY name <> term, file_path, start_line, id) = 1),
+missing AS (SELECT term AS query_id, term AS query FROM wanted ANTI JOIN exact USING (term)),
+{search("missing", 5, "t")}, {search(asked, 2 * limit, "w")},
+first_unit AS MATERIALIZED (SELECT name, id FROM units QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, id) = 1),
+near AS (SELECT query_id AS term, id FROM tbest JOIN first_unit USING (name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, id) = 1),
+points AS (SELECT query_id, id AS unit_id, 0 AS stage, position AS pos FROM {terms} JOIN (SELECT * FROM exact UNION ALL SELECT * FROM near) USING (term)
+  UNION ALL SELECT query_id, id, 1, rank FROM wbest JOIN first_unit USING (name)),
+placed AS (SELECT query_id, unit_id, min((stage, pos)) AS place FROM points GROUP BY ALL),
+focal AS MATERIALIZED (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY place, unit_id) AS position FROM placed QUALIFY position <= {limit})"""
