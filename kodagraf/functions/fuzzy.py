@@ -13,58 +13,118 @@ from pyspark.sql import functions as F
 _BINS = 64
 
 
+def _spread(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code point, word and place of every letter."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), sizes)
+    return codes, word, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _letters(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), _BINS), dtype=np.int16)
-    for row, word in enumerate(words):
-        codes, counts = np.unique(np.fromiter((ord(c) % _BINS for c in word), dtype=np.int64), return_counts=True)
-        out[row, codes] = counts
-    return out
+    """How often each word has the letters of each bin."""
+    codes, word, _ = _spread(words)
+    counts = np.bincount(word * _BINS + codes % _BINS, minlength=len(words) * _BINS)
+    return counts.reshape(len(words), _BINS).astype(np.int16)
+
 
+#: From this length of the query on, the matcher leaves out frequent letters.
+_JUNK_FROM = 200
+#: Names compared at once: a few first, for an early floor, then more.
+_FIRST, _CHUNK = 256, 2048
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Characters as numbers, one row per word, filled up with 0."""
-    out = np.zeros((len(words), max(map(len, words), default=0)), dtype=np.int32)
-    for row, word in enumerate(words):
-        out[row, : len(word)] = [ord(c) for c in word]
-    return out
 
+def _numbers(names: list[str]) -> tuple[np.ndarray, dict[str, int]]:
+    """Letters as small numbers, one column per name, filled up with -1; and the number of each letter."""
+    codes, word, place = _spread(names)
+    alphabet, number = np.unique(codes, return_inverse=True)
+    out = np.full((int(place.max(initial=-1)) + 1, len(names)), -1, dtype=np.int16 if len(alphabet) < 1 << 15 else np.int32)
+    out[place, word] = number
+    return out, {chr(c): i for i, c in enumerate(alphabet.tolist())}
 
-def _common_subsequence(codes: np.ndarray, query: str) -> np.ndarray:
-    """Length of the longest common subsequence of the query with every row."""
-    best = np.zeros((codes.shape[0], codes.shape[1] + 1), dtype=np.int16)
-    for c in query:
-        step = np.maximum(best[:, 1:], best[:, :-1] + (codes == ord(c)))
-        best[:, 1:] = np.maximum.accumulate(step, axis=1)
-    return best[:, -1]
+
+def matched(letters: np.ndarray, lengths: np.ndarray, query: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Letters in matching blocks of the query with every name (a column of ``letters``).
+
+    The longest common block comes first (of several the one that starts first in the name, then in
+    the query), then what is left and right of it, for all names at once. A name that cannot reach its ``least`` is
+    left where it stands, below it.
+    """
+    total = np.zeros(len(lengths), np.int64)
+    name = np.arange(len(lengths))
+    a_low, a_high = np.zeros(len(name), np.int64), lengths.astype(np.int64)
+    b_low, b_high = np.zeros(len(name), np.int64), np.full(len(name), len(query), np.int64)
+    places = np.arange(len(query))[:, None]
+    wanted = query.astype(letters.dtype)[:, None]
+    wanted[query < 0] = -2
+    while len(name):
+        run, before = np.zeros((2, len(query), len(name)), np.uint8)  # queries are shorter than 256 letters
+        inside = (places >= b_low) & (places < b_high)
+        best, at_a, at_b = np.zeros((3, len(name)), np.int64)
+        for i in range(int(a_low.min()), int(a_high.max())):
+            run, before = before, run
+            run[0] = 1
+            np.add(before[:-1], 1, out=run[1:])
+            equal = wanted == np.where((a_low <= i) & (i < a_high), letters[i, name], -1)
+            equal &= inside
+            run *= equal.view(np.uint8)
+            most = run.max(axis=0)
+            longer = np.flatnonzero(most > best)  # an equal block that starts later is no better
+            if len(longer):
+                size = most[longer].astype(np.int64)
+                best[longer], at_a[longer] = size, i - size + 1
+                at_b[longer] = run[:, longer].argmax(axis=0) - size + 1
+        np.add.at(total, name, best)
+        some = np.flatnonzero(best)
+        name, best, at_a, at_b = (x[some] for x in (name, best, at_a, at_b))
+        a_low, a_high, b_low, b_high = (x[some] for x in (a_low, a_high, b_low, b_high))
+        name = np.concatenate([name, name])
+        a_low, a_high = np.concatenate([a_low, at_a + best]), np.concatenate([at_a, a_high])
+        b_low, b_high = np.concatenate([b_low, at_b + best]), np.concatenate([at_b, b_high])
+        rest = np.minimum(a_high - a_low, b_high - b_low)
+        hope = total + np.bincount(name, rest, len(total))
+        go = np.flatnonzero((rest > 0) & (hope[name] >= least[name]))
+        name, a_low, a_high, b_low, b_high = (x[go] for x in (name, a_low, a_high, b_low, b_high))
+    return total
 
 
 def nearest_in_block(queries: pd.DataFrame, names: list[str], k: int, cutoff: float) -> pd.DataFrame:
     """The ``k`` best names of one block for each query.
 
-    The ratio counts matching runs in order, so it is at most that of the letters in
-    common, and of the longest common subsequence. Names are visited by that bound,
-    and the search stops when no later name can enter the best ``k``: nothing that
-    belongs to the result is skipped.
+    The ratio is at most that of the letters in common. Names are visited by that bound, against a floor that rises
+    with the best ``k``: nothing that belongs to the result is skipped.
     """
-    letters, lengths = _letters(names), np.fromiter((len(n) for n in names), dtype=np.int64)
-    codes = _codes(names)
+    common_letters, lengths = _letters(names), np.fromiter((len(n) for n in names), dtype=np.int64)
+    letters, number = _numbers(names)
     rows = []
     for query_id, query in zip(queries["query_id"], queries["query"]):
         total = np.maximum(lengths + len(query), 1)
-        common = np.minimum(letters, _letters([query])[0]).sum(axis=1, dtype=np.int64)
-        eligible = np.flatnonzero(2.0 * common / total >= cutoff)
-        bound = 2.0 * _common_subsequence(codes[eligible], query) / total[eligible]
-        matcher = difflib.SequenceMatcher()
-        matcher.set_seq2(query)
+        in_reach = np.flatnonzero(2.0 * np.minimum(lengths, len(query)) / total >= cutoff)
+        common = np.minimum(common_letters[in_reach], _letters([query])[0]).sum(axis=1, dtype=np.int64)
+        bound = 2.0 * common / total[in_reach]
+        order = np.argsort(-bound, kind="stable")
+        in_reach, bound = in_reach[order], bound[order]
+        coded = np.array([number.get(c, -1) for c in query], np.int64)
         best: list[tuple[float, str]] = []
-        for at in np.argsort(-bound, kind="stable"):
-            if bound[at] < cutoff or (len(best) == k and bound[at] < best[0][0]):
+        at = 0
+        while at < len(in_reach):
+            floor = best[0][0] if len(best) == k else cutoff
+            if bound[at] < floor:
                 break
-            name = names[eligible[at]]
-            matcher.set_seq1(name)
-            ratio = matcher.ratio()
-            if ratio >= cutoff:
-                (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (ratio, name))
+            end = at + (_CHUNK if at else _FIRST)
+            chunk = in_reach[at:end][bound[at:end] >= floor]
+            if len(query) < _JUNK_FROM:
+                least = np.ceil(floor * total[chunk] / 2 - 1e-9)
+                ratios = 2.0 * matched(letters[:, chunk], lengths[chunk], coded, least) / total[chunk]
+            else:
+                matcher = difflib.SequenceMatcher(b=query)
+                ratios = np.zeros(len(chunk))
+                for i, c in enumerate(chunk):
+                    matcher.set_seq1(names[c])
+                    ratios[i] = matcher.ratio()
+            for i in np.flatnonzero(ratios >= floor):
+                (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (float(ratios[i]), names[chunk[i]]))
+            at = end
         for ratio, name in best:
             score = difflib.SequenceMatcher(None, query.lower(), name.lower()).ratio()
             rows.append((query_id, query, name, ratio, score))
@@ -81,9 +141,9 @@ def nearest_names(
 ) -> DataFrame:
     """(query_id, query, name, score, rank): the ``k`` closest of the distinct ``names`` per query.
 
-    Every query has to meet every name once, which no join key can avoid. The work
-    is laid out as a grid of blocks of bounded size; each block returns at most
-    ``k`` names for a query, so pairs are never written out.
+    The work is laid out as a grid of blocks of bounded size; each block returns at most
+    ``k`` names for a query, so pairs are never written out. Lengths and letters in
+    common rule out most names of a block before they are compared.
     """
     parallel = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = queries.schema["query_id"].dataType.simpleString()

@@ -50,6 +50,8 @@ def resolve_names(units: DataFrame, names: DataFrame, fuzzy: bool = True) -> Dat
     exact = lookup_exact(units, wanted.select("name").distinct()).select("name", F.col("id").alias("exact_id"))
     if not fuzzy:
         return wanted.join(exact, "name").withColumnRenamed("exact_id", "unit_id")
+    wanted = cut(wanted, "wanted")
+    exact = cut(lookup_exact(units, wanted.select("name").distinct()).select("name", F.col("id").alias("exact_id")), "exact")
     missing = wanted.join(exact, "name", "left_anti").select("name").distinct()
     hits = search(units, missing.select(F.col("name").alias("query_id"), F.col("name").alias("query")), 5)
     hits = hits.select(F.col("query_id").alias("name"), "rank", "file_path", "id")
@@ -71,7 +73,7 @@ def resolve_requests(units: DataFrame, queries: DataFrame, limit: int = FOCAL_LI
 
     Terms are resolved once however many requests share them.
     """
-    asked = valid_requests(queries)
+    asked = cut(valid_requests(queries), "asked") if fuzzy else valid_requests(queries)
     terms = request_terms(asked)
     resolved = resolve_names(units, terms.select(F.col("term").alias("name")), fuzzy)
     named = terms.join(resolved, F.col("term") == F.col("name")).select("query_id", "unit_id", F.lit(0).alias("stage"), "position")

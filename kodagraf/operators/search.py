@@ -51,7 +51,8 @@ def ranked_names(units: DataFrame, queries: DataFrame, limit: int = 10, fuzzy: b
 
 def search(units: DataFrame, queries: DataFrame, limit: int = 10, fuzzy: bool = True) -> DataFrame:
     """Search results with their units: one unit per name, the first in unit order."""
-    return units_of_names(units, ranked_names(units, queries, limit, fuzzy))
+    hits = ranked_names(units, queries, limit, fuzzy)
+    return units_of_names(units, cut(hits, "hits") if fuzzy else hits)  # read twice, and dear to find
 
 
 def search_symbols(units: DataFrame, queries: DataFrame, limit: int = 10, fuzzy: bool = True) -> DataFrame:
