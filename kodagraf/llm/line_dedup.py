@@ -36,11 +36,11 @@ def line_key(line: Column) -> Column:
 
 def occurrences(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     """(h1, h2, doc, content, pos) of each line whose key is long enough."""
-    lines = docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"),
-        F.xxhash64("text").alias("content"),
-        F.posexplode(lines_of(F.col("text"))).alias("pos", "line"),
+    # The whole text is read here, once a document: beside an explode it would be hashed again for each line.
+    cut_up = docs.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("content"), lines_of(F.col("text")).alias("lines")
     )
+    lines = cut_up.select("doc", "content", F.posexplode("lines").alias("pos", "line"))
     keyed = lines.select("doc", "content", "pos", line_key(F.col("line")).alias("key"))
     return keyed.filter(F.length("key") >= least_length).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "content", "pos"

@@ -66,6 +66,17 @@ def test_line_dedup_hot(spark, make_docs, monkeypatch):
     assert got == {i: (n, d, brute.sha(t)) for i, (n, d, t) in want.items()}
 
 
+def test_line_dedup_of_a_long_text_and_of_nothing(make_docs):
+    lines = [f"this is line number {i} of a long text that has very many of them" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[7::1000])), (3, lines[7])]
+    plan = line_dedup.occurrences(make_docs(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64(text")  # below the explode: once a document
+    want = brute.line_dedup(rows)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.report(make_docs(rows)).collect()}
+    assert got == {i: (n, d, brute.sha(t)) for i, (n, d, t) in want.items()}
+    assert line_dedup.report(make_docs(rows).limit(0)).count() == 0
+
+
 def test_line_dedup_repeated_ids(make_docs):
     docs = make_docs([(1, LINE), (1, f"{LINE}\nb"), (None, LINE), (2, LINE), (2, LINE)])
     rows = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in line_dedup.report(docs).collect())
