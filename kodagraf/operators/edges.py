@@ -7,10 +7,13 @@ residual test: equal to testing every pair, without the pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kodagraf.functions.ids import parent_dir, symbol_name_or_null
+from kodagraf.runtime import cut
 from kodagraf.schema import EDGE_COLS
 
 RUN = r"[\w.$]+"
@@ -61,6 +64,21 @@ def _edges(df: DataFrame, kind: str) -> DataFrame:
     return df.select("source_id", "target_id", F.lit(kind).alias("edge_type"))
 
 
+#: Names that a run of name characters before a bracket can be.
+PLAIN = r"(?U)^\w[\w.$]*$"
+
+
+def _call_words(text: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(_runs(text, rf"({RUN})\s*\("), _suffixes)))
+
+
+def _odd_calls(src: DataFrame, odd: DataFrame) -> DataFrame:
+    """Calls of names with other characters, from (source_id, source_file, text): by their first word, then tested."""
+    odd = odd.withColumn("word", F.regexp_extract("name", r"(?U)(\w+)", 1))
+    all_words = src.withColumn("word", F.explode(F.array_distinct(_runs(F.col("text"), r"(\w+)"))))
+    return all_words.join(odd, "word").filter(F.rlike(F.col("text"), call_regex(F.col("name"))))
+
+
 def call_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> DataFrame:
     """CALLS: the text of a unit has ``name(`` for the full name of another unit.
 
@@ -70,16 +88,12 @@ def call_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> Dat
     """
     src = units.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_file"), F.col(text).alias("text"))
     targets = _targets(units)
-    plain = F.col("name").rlike(r"(?U)^\w[\w.$]*$")
-    heads = F.flatten(F.transform(_runs(F.col("text"), rf"({RUN})\s*\("), _suffixes))
-    words = src.select("source_id", "source_file", F.explode(F.array_distinct(heads)).alias("name"))
+    plain = F.col("name").rlike(PLAIN)
+    words = src.select("source_id", "source_file", F.explode(_call_words(F.col("text"))).alias("name"))
     found = words.join(targets.filter(plain), "name")
 
     both = found.select("source_id", "source_file", "target_id", "target_file")
-    odd = targets.filter(~plain).withColumn("word", F.regexp_extract("name", r"(?U)(\w+)", 1))
-    all_words = src.withColumn("word", F.explode(F.array_distinct(_runs(F.col("text"), r"(\w+)"))))
-    odd_found = all_words.join(odd, "word").filter(F.rlike(F.col("text"), call_regex(F.col("name"))))
-    both = both.unionByName(odd_found.select(*both.columns))
+    both = both.unionByName(_odd_calls(src, targets.filter(~plain)).select(*both.columns))
     both = both.filter("source_id <> target_id")
     if scope == "file":
         both = both.filter("source_file = target_file")
@@ -91,31 +105,41 @@ def define_edges(units: DataFrame) -> DataFrame:
     return units.select(F.col("file_path").alias("source_id"), F.col("id").alias("target_id"), F.lit("DEFINES").alias("edge_type"))
 
 
+def _base_words(text: Column) -> Column:
+    after = F.flatten(F.transform(_runs(text, rf"(?:implements|extends)\s+({RUN})"), _prefixes))
+    bases = F.array_join(_runs(text, r"class\s+\w+\s*\(([^)]*)"), "\n")
+    inside = F.flatten(F.transform(_runs(bases, rf"({RUN})"), lambda r: F.flatten(F.transform(_suffixes(r), _prefixes))))
+    return F.array_distinct(F.concat(after, inside))
+
+
+def base_regex(name: Column) -> Column:
+    name = _literal(name)
+    return F.concat(
+        F.lit(r"(?U)(?:class\s+\w+\s*\([^)]*\b"), name, F.lit(r"\b|(?:implements|extends)\s+"), name, F.lit(r"\b)")
+    )
+
+
 def implement_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> DataFrame:
     """IMPLEMENTS: a class text names an interface as base, after ``implements`` or after ``extends``."""
     src = units.filter(F.col("unit_kind").isin("CLASS", "METHOD")).select(
         F.col("id").alias("source_id"), F.col("file_path").alias("source_file"), F.col(text).alias("text")
     )
-    after = F.flatten(F.transform(_runs(F.col("text"), rf"(?:implements|extends)\s+({RUN})"), _prefixes))
-    bases = F.array_join(_runs(F.col("text"), r"class\s+\w+\s*\(([^)]*)"), "\n")
-    inside = F.flatten(F.transform(_runs(bases, rf"({RUN})"), lambda r: F.flatten(F.transform(_suffixes(r), _prefixes))))
-    words = src.withColumn("name", F.explode(F.array_distinct(F.concat(after, inside))))
+    words = src.withColumn("name", F.explode(_base_words(F.col("text"))))
     targets = _targets(units.filter(F.col("unit_kind") == "INTERFACE"))
-    name = _literal(F.col("name"))
-    exact = F.concat(
-        F.lit(r"(?U)(?:class\s+\w+\s*\([^)]*\b"), name, F.lit(r"\b|(?:implements|extends)\s+"), name, F.lit(r"\b)")
-    )
-    found = words.join(targets, "name").filter(F.rlike(F.col("text"), exact))
+    found = words.join(targets, "name").filter(F.rlike(F.col("text"), base_regex(F.col("name"))))
     if scope == "file":
         found = found.filter("source_file = target_file")
     return _edges(found, "IMPLEMENTS").distinct()
 
 
+def _import_words(text: Column) -> Column:
+    return F.array_distinct(F.flatten(F.array(*[_runs(text, p) for p in IMPORT_PATTERNS])))
+
+
 def import_texts(units: DataFrame, text: str = "body") -> DataFrame:
     """(source_id, source_file, path): what the text of a unit imports."""
-    found = F.flatten(F.array(*[_runs(F.col(text), p) for p in IMPORT_PATTERNS]))
     return units.select(
-        F.col("id").alias("source_id"), F.col("file_path").alias("source_file"), F.explode(F.array_distinct(found)).alias("path")
+        F.col("id").alias("source_id"), F.col("file_path").alias("source_file"), F.explode(_import_words(F.col(text))).alias("path")
     )
 
 
@@ -235,3 +259,74 @@ def build_edges(units: DataFrame, scope: str = "repo", text: str = "body") -> Da
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.dropDuplicates(EDGE_COLS)
+
+
+# The inverted list of an index, and edges from it
+
+
+def references(units: DataFrame, text: str = "body") -> DataFrame:
+    """(source_id, source_file, kind, word): what the text of each unit may call, import or have as base, read once.
+
+    Kept beside the units, it stands for their bodies: with the names of units it gives all edges
+    but calls of odd names (see :data:`PLAIN`).
+    """
+
+    def tagged(kind: str, words: Column) -> Column:
+        return F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+
+    body = F.col(text)
+    bases = F.when(F.col("unit_kind").isin("CLASS", "METHOD"), F.filter(_base_words(body), lambda w: F.rlike(body, base_regex(w))))
+    none = F.array().cast("array<string>")
+    all_words = F.concat(
+        tagged("call", _call_words(body)), tagged("import", _import_words(body)), tagged("base", F.coalesce(bases, none))
+    )
+    listed = units.filter(body.isNotNull()).select(
+        F.col("id").alias("source_id"), F.col("file_path").alias("source_file"), F.explode(all_words).alias("_w")
+    )
+    return listed.select("source_id", "source_file", "_w.kind", "_w.word")
+
+
+def _named_by(refs: DataFrame, units: DataFrame) -> DataFrame:
+    """CALLS and IMPLEMENTS of plain names between some references and some units."""
+    targets = _targets(units).withColumnRenamed("name", "word")
+    calls = refs.filter("kind = 'call'").join(targets.filter(F.col("word").rlike(PLAIN)), "word").filter("source_id <> target_id")
+    interfaces = _targets(units.filter(F.col("unit_kind") == "INTERFACE")).withColumnRenamed("name", "word")
+    bases = refs.filter("kind = 'base'").join(interfaces, "word")
+    return _edges(calls, "CALLS").unionByName(_edges(bases, "IMPLEMENTS"))
+
+
+def changed_edges(
+    kept_edges: DataFrame, kept_units: DataFrame, kept_refs: DataFrame, gone: DataFrame, fresh: DataFrame, fresh_refs: DataFrame
+) -> DataFrame:
+    """All edges after the units ``gone`` were replaced by ``fresh``; ``kept_edges`` touch neither.
+
+    What is new has a new unit at one end: new words meet all names, and all words the new names. Only
+    imports can change between kept units, as the first file or unit that fits is taken: the sources of
+    texts that fit a file or name which came or went are resolved again. Bodies of kept
+    units are read only if a new name has odd characters.
+    """
+    meta = ["id", "file_path", "unit_kind", "start_line"]
+    units = kept_units.select(*meta).unionByName(fresh.select(*meta))
+    out = [kept_edges, define_edges(fresh), _named_by(fresh_refs, units), _named_by(kept_refs, fresh)]
+
+    def sources(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_file"), F.col("body").alias("text"))
+
+    odd = ~F.col("name").rlike(PLAIN)
+    out.append(_edges(_odd_calls(sources(fresh), _targets(units).filter(odd)).filter("source_id <> target_id"), "CALLS"))
+    fresh_odd = _targets(fresh).filter(odd)
+    if not fresh_odd.isEmpty():
+        out.append(_edges(_odd_calls(sources(kept_units), fresh_odd), "CALLS"))
+
+    texts = kept_refs.unionByName(fresh_refs).filter("kind = 'import'").select("source_id", F.col("word").alias("path"))
+    moved = gone.select(*meta).unionByName(fresh.select(*meta))
+    unsettled = resolve_imports(texts.select("path").distinct(), moved).filter("by_path IS NOT NULL OR by_name IS NOT NULL")
+    again = texts.join(unsettled.select("path"), "path", "left_semi").select("source_id")
+    again = cut(again.unionByName(fresh_refs.select("source_id")).distinct(), "imports-again")
+    theirs = texts.join(again, "source_id", "left_semi")
+    resolved = theirs.join(resolve_imports(theirs.select("path").distinct(), units), "path")
+    found = resolved.withColumn("target_id", F.coalesce("by_path", "by_name")).filter("target_id IS NOT NULL")
+    settled = kept_edges.join(again.withColumn("edge_type", F.lit("IMPORTS")), ["source_id", "edge_type"], "left_anti")
+    out[0] = settled.select(*EDGE_COLS)
+    out.append(_edges(found, "IMPORTS"))
+    return reduce(DataFrame.unionByName, [part.select(*EDGE_COLS) for part in out]).dropDuplicates(EDGE_COLS)

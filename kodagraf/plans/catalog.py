@@ -701,6 +701,48 @@ def _(spark, sf):
     return edges.build_edges(ledger(spark, sf))
 
 
+# The ledger after a change: every fifth file of orders names other customers, every fifth one is gone, and so is every fourth file of customers.
+CHANGED = """orders AS (SELECT o_orderkey, CASE WHEN o_orderkey // 32 % 5 = 1 THEN o_custkey // 2 ELSE o_custkey END AS o_custkey FROM main.orders WHERE o_orderkey // 32 % 5 <> 2),
+customer AS (SELECT c_custkey, c_nationkey FROM main.customer WHERE c_custkey // 16 % 4 <> 3)"""
+CHANGED_EDGES = f"SELECT source_id, target_id, 'CALLS' AS edge_type FROM calls UNION SELECT file_path, id, 'DEFINES' FROM lunits UNION {IMPLEMENTS} UNION {IMPORT_EDGES}"
+
+
+def changed_ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units, edges and the inverted list of the ledger after the change, from those before it."""
+    before = tables.stored_edges(spark, sf, "ledger-units", lambda: ledger(spark, sf))
+    tables_of = {n: tables.table(spark, sf, n) for n in ("nation", "customer", "orders")}
+    turned = tables_of["orders"].filter("o_orderkey div 32 % 5 = 1").selectExpr("o_orderkey", "o_custkey div 2 AS o_custkey")
+    fresh = tables.ledger_rows(spark, tables_of["nation"].limit(0), tables_of["customer"].limit(0), turned)
+    number = F.col("name").substr(F.instr("name", "_") + 1, F.lit(20)).cast("long")
+    rows = before.withColumn("k", number)
+    order, client = F.col("unit_kind") == "FUNCTION", F.col("unit_kind") == "CLASS"
+    hit = (order & F.expr("k div 32 % 5 IN (1, 2)")) | (client & F.expr("k div 16 % 4 = 3"))
+    touched = rows.filter(hit).select(F.col("file_path").alias("path")).distinct()
+    refs = tables.stored_edges(spark, sf, "ledger-refs", lambda: edges.references(before))
+    built = tables.stored_edges(spark, sf, "ledger-all", lambda: edges.build_edges(before))
+    return index.replace_units(before, built, refs, touched, fresh)
+
+
+@register("apply_changes", f"{v.with_views(CHANGED, v.LEDGER)}, {IMPORTS} {CHANGED_EDGES}")
+def _(spark, sf):
+    return changed_ledger(spark, sf)[1]
+
+
+@register("apply_changes_units", f"{v.with_views(CHANGED, v.LEDGER)} SELECT id, file_path, start_line FROM lunits")
+def _(spark, sf):
+    return changed_ledger(spark, sf)[0].select("id", "file_path", "start_line")
+
+
+@register(
+    "references",
+    f"""{L}, r AS (SELECT id AS source_id, 'call' AS kind, unnest(['Cust_' || ckey, 'ledger.order_' || (okey // 2), '.order_' || (okey // 2), 'order_' || (okey // 2), 'preorder_' || okey, 'require']) AS word FROM lunits WHERE unit_kind = 'FUNCTION'
+    UNION ALL SELECT id, 'import', unnest(['m' || (ckey // 16), 'lib', 'c' || (ckey // 64) || '/m' || (ckey // 16)]) FROM lunits WHERE unit_kind = 'FUNCTION'
+    UNION ALL SELECT id, unnest(['call', 'base', 'base']), unnest(['INation_' || nkey, 'INation_' || nkey, 'Base']) FROM lunits WHERE unit_kind = 'CLASS') SELECT * FROM r""",
+)
+def _(spark, sf):
+    return edges.references(ledger(spark, sf)).select("source_id", "kind", "word")
+
+
 @register(
     "resolve_reference",
     f"""{P}, q AS (SELECT k AS query_id, name, 'src/p' || (k % 16) || '/x.py' AS context_file FROM units),

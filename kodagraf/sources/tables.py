@@ -132,7 +132,11 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {n: table(spark, sf_dir, n) for n in ("nation", "customer")}
     tables["orders"] = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
-    units = spark.sql(LEDGER_UNITS, **tables)
+    return ledger_rows(spark, **tables)
+
+
+def ledger_rows(spark: SparkSession, nation: DataFrame, customer: DataFrame, orders: DataFrame) -> DataFrame:
+    units = spark.sql(LEDGER_UNITS, nation=nation, customer=customer, orders=orders)
     return units.select(
         "id", "unit_kind", "file_path", "name",
         F.lit(0).cast("bigint").alias("start_byte"),

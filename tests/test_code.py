@@ -205,6 +205,36 @@ def test_changes_are_applied(spark):
         assert triples(edges_after) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_an_update_equals_a_new_build(spark, make_units, seed):
+    """Files that go, come and change: names, bases and imports that other files then find elsewhere."""
+    rng = random.Random(seed)
+    names = ["f", "g", "Big", "K.run", "I", "J", "~odd", "über"]
+    paths = ["a/util.py", "a/core.py", "b/util.py", "b/x.py", "c/deep/util.py", "m.py"]
+
+    def units_of(path):
+        out = []
+        for name in rng.sample(names, rng.randrange(1, 5)):
+            kind = "INTERFACE" if name in "IJ" else rng.choice(["CLASS", "FUNCTION"])
+            words = [f"{rng.choice(names)} (1)", f"K.{rng.choice(names)}(2)", f"class Q({rng.choice('IJ')}, x.J):", f"extends {rng.choice('IJ')}.z",
+                     f"import {rng.choice(['util', 'core', 'f', 'x', 'deep'])}", f"from {rng.choice(['a.util', 'deep.util', '.', 'c', 'zz.g'])} import y"]
+            out.append((f"{path}:{name}", kind, rng.randrange(50), 60, "sig", "\n".join(rng.sample(words, 4)), None))
+        return out
+
+    before = {p: units_of(p) for p in paths[:5]}
+    changed = {p: units_of(p) for p in rng.sample(paths, 3)}
+    gone = set(rng.sample(paths, 2)) - set(changed)
+    after = {p: u for p, u in (before | changed).items() if p not in gone}
+    old, new = (make_units([u for us in x.values() for u in us]) for x in (before, after))
+    fresh = make_units([u for us in changed.values() for u in us])
+    touched = spark.createDataFrame([(p,) for p in {*changed, *gone}], "path string")
+    units, found, refs = index.replace_units(old, edges.build_edges(old), edges.references(old), touched, fresh)
+    assert sorted(r.id for r in units.collect()) == sorted(r.id for r in new.collect())
+    assert triples(found) == triples(edges.build_edges(new))
+    assert sorted(map(tuple, refs.collect())) == sorted(map(tuple, edges.references(new).collect()))
+    assert found.count() == len(triples(found))
+
+
 PY = "import os\n\nclass A(B):\n    '''Doc é.'''\n\n    @prop\n    def m(self):\n        return f(1)\n\ndef f(x):\n    def inner():\n        pass\n    return inner\n"
 
 
