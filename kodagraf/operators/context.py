@@ -85,14 +85,26 @@ def resolve_requests(units: DataFrame, queries: DataFrame, limit: int = FOCAL_LI
     return ranked.select("query_id", "unit_id", "position")
 
 
+def found_by_name(units: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, unit_id) for those ids that no unit has: the first unit of the same name, as in an exact lookup."""
+    missing = ids.select("id").distinct().join(units.select("id"), "id", "left_anti")
+    missing = cut(missing.withColumn("name", F.substring_index("id", ":", -1)), "missing")
+    named = lookup_exact(units, missing.select("name").distinct()).select("name", F.col("id").alias("unit_id"))
+    return missing.join(named, "name").select("id", "unit_id")
+
+
 def dependency_units(units: DataFrame, edges: DataFrame, focal: DataFrame, config: BuildConfig = BuildConfig()) -> DataFrame:
     """(query_id, <unit columns>, depth, near) of the dependencies that are not focal themselves.
 
-    ``near`` marks a dependency in the file of a focal unit. An id without a unit gives
-    no row.
+    ``near`` marks a dependency in the file of a focal unit. An id without a unit stands for
+    the first unit of its name, and gives no row if there is none.
     """
     reached = graph.bfs(edges, focal.select("query_id", F.col("unit_id").alias("start_id")), config.dependency_depth)
-    ids = reached.select("query_id", F.col("node_id").alias("id"), "depth")
+    ids = cut(reached.select("query_id", F.col("node_id").alias("id"), "depth"), "dependencies")
+    moved = found_by_name(units, ids)
+    if not moved.isEmpty():
+        by_name = ids.join(moved, "id").groupBy("query_id", F.col("unit_id").alias("id")).agg(F.min("depth").alias("depth"))
+        ids = ids.unionByName(by_name.join(ids, ["query_id", "id"], "left_anti"))
     ids = ids.join(focal.select("query_id", F.col("unit_id").alias("id")), ["query_id", "id"], "left_anti")
     found = ids.join(units, "id")
     if not config.prioritize_same_file:
@@ -268,10 +280,15 @@ def context_for_file(
 
 
 def expand_dependencies(units: DataFrame, edges: DataFrame, requests: DataFrame, depth: int = 1) -> DataFrame:
-    """(query_id, name) -> every dependency within ``depth``, also those without a unit (kind and file ``unknown``, line 0)."""
+    """(query_id, name) -> every dependency within ``depth``.
+
+    An id that no unit has shows the first unit of its name; without one, kind and file are ``unknown`` and the line is 0.
+    """
     starts = lookup_exact(units, requests).select("query_id", F.col("id").alias("start_id"))
-    reached = graph.dependencies(edges, starts, depth).withColumnRenamed("node_id", "id")
-    info = reached.join(units.select("id", "unit_kind", "file_path", "start_line"), "id", "left")
+    reached = cut(graph.dependencies(edges, starts, depth).withColumnRenamed("node_id", "id"), "dependencies")
+    moved = found_by_name(units, reached)
+    about = units.select(F.col("id").alias("unit_id"), "unit_kind", "file_path", "start_line")
+    info = reached.join(moved, "id", "left").withColumn("unit_id", F.coalesce("unit_id", "id")).join(about, "unit_id", "left")
     return info.select(
         "query_id",
         "id",

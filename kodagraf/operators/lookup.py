@@ -61,9 +61,12 @@ def lookup_exact(units: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(best, F.col("name") == F.col("wanted")).drop("wanted")
 
 
-def lookup_prefix(units: DataFrame, requests: DataFrame) -> DataFrame:
+def lookup_prefix(units: DataFrame, requests: DataFrame, limit: int | None = None) -> DataFrame:
     """(query_id, prefix) -> all units whose name starts with it, ignoring case.
 
+    With ``limit`` only the first so many of each query, in unit order, with their ``position`` and with ``total``, the
+    number of all; both are reduced before the shuffle.
+
     Names are cut to each requested prefix length, which turns the prefix test into
     an equi-join.
     """
@@ -72,7 +75,12 @@ def lookup_prefix(units: DataFrame, requests: DataFrame) -> DataFrame:
     lengths = wanted.agg(F.collect_set(F.length("_p"))).scalar()
     cuts = u.withColumn("_len", F.explode(F.array_intersect(F.sequence(F.lit(1), F.length("_n")), lengths)))
     cuts = cuts.withColumn("_p", F.substring(F.col("_n"), F.lit(1), F.col("_len")))
-    return wanted.join(cuts, "_p").drop("_p", "_n", "_len")
+    found = wanted.join(cuts, "_p").drop("_p", "_n", "_len")
+    if limit is None:
+        return found
+    total = found.groupBy("query_id").agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*UNIT_ORDER))
+    return found.withColumn("position", place).filter(F.col("position") <= limit).join(total, "query_id")
 
 
 def search_substring(

@@ -159,6 +159,18 @@ def _(spark, sf):
     return lookup.lookup_prefix(parts(spark, sf), words.withColumn("prefix", F.col("query_id"))).select("query_id", "id")
 
 
+@register(
+    "lookup_prefix_page",
+    f"""{P}, q AS (SELECT DISTINCT upper(w1) AS query_id FROM units)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY file_path, start_line, id) AS position, count(*) OVER (PARTITION BY query_id) AS total
+    FROM q JOIN units ON starts_with(lower(name), lower(query_id)) QUALIFY position <= 5""",
+)
+def _(spark, sf):
+    words = tables.table(spark, sf, "part").select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("query_id")).distinct()
+    found = lookup.lookup_prefix(parts(spark, sf), words.withColumn("prefix", F.col("query_id")), limit=5)
+    return found.select("query_id", "id", "position", "total")
+
+
 @register("lookup_substring", f"{P} SELECT id, name FROM units WHERE contains(lower(name), 'gizmo_1')")
 def _(spark, sf):
     return lookup.search_substring(parts(spark, sf), "Gizmo_1").select("id", "name")
@@ -1210,6 +1222,42 @@ def _(spark, sf):
     return context.symbol_context(parts(spark, sf), part_edges(spark, sf), requests).select("query_id", "id", "relation")
 
 
+def moved_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Part edges of which some point to ids from before a move, and some to units that are gone."""
+    name = F.substring_index("target_id", ":", -1)
+    moved = F.when(F.length("target_id") % 5 == 0, F.concat(F.lit("old/place.py:"), name))
+    gone = F.when(F.length("target_id") % 5 == 1, F.concat(F.lit("old/place.py:gone_"), name))
+    return part_edges(spark, sf).withColumn("target_id", F.coalesce(moved, gone, F.col("target_id")))
+
+
+MOVED = """moved AS (SELECT DISTINCT src, CASE length(dst) % 5 WHEN 0 THEN 'old/place.py:' || split_part(dst, ':', -1) WHEN 1 THEN 'old/place.py:gone_' || split_part(dst, ':', -1) ELSE dst END AS dst FROM hop),
+by_name AS (SELECT dst, u.id FROM (SELECT DISTINCT dst, split_part(dst, ':', -1) AS n FROM moved WHERE starts_with(dst, 'old/')) m JOIN units u ON lower(u.name) = lower(n)
+  QUALIFY row_number() OVER (PARTITION BY dst ORDER BY u.name <> n, u.file_path, u.start_line, u.id) = 1)"""
+
+
+@register(
+    "expand_moved",
+    f"""{PET}, q AS (SELECT query_id, name AS wanted FROM top), {SYMBOL_FOCAL}, {MOVED}
+    SELECT query_id, dst AS id, split_part(dst, ':', -1) AS symbol_name, coalesce(u.unit_kind, 'unknown') AS unit_kind, coalesce(u.file_path, 'unknown') AS file_path, coalesce(u.start_line, 0) AS line
+    FROM (SELECT DISTINCT query_id, dst FROM focal JOIN moved ON src = unit_id) LEFT JOIN by_name USING (dst) LEFT JOIN units u ON u.id = coalesce(by_name.id, dst)""",
+)
+def _(spark, sf):
+    found = context.expand_dependencies(parts(spark, sf), moved_edges(spark, sf), brand_pick(spark, sf).select("query_id", "name"))
+    return found.select("query_id", "id", "symbol_name", "unit_kind", "file_path", "line")
+
+
+@register(
+    "context_moved",
+    f"""{PET}, q AS (SELECT query_id, name AS wanted FROM top), {SYMBOL_FOCAL}, {MOVED}
+    SELECT DISTINCT query_id, coalesce(by_name.id, dst) AS id FROM focal JOIN moved ON src = unit_id LEFT JOIN by_name USING (dst)
+    WHERE coalesce(by_name.id, dst) IN (SELECT id FROM units) AND coalesce(by_name.id, dst) <> unit_id""",
+)
+def _(spark, sf):
+    requests = brand_pick(spark, sf).select("query_id", "name")
+    rows = context.context_for_symbols(parts(spark, sf), moved_edges(spark, sf), requests)
+    return rows.filter("section = 'dependency'").select("query_id", "id")
+
+
 # Change streams
 
 GAP = "6 hours"
