@@ -14,7 +14,7 @@ from kodagraf.sources import tables
 # Index build, lookup and search, graph, map, budget, bundle, stream.
 HEADLINE = """
 extract_units call_edges all_edges
-lookup_exact search_tiers
+lookup_exact search_tiers search_fuzzy
 bfs_depth expand_dependencies cycles_bounded components pagerank
 repo_map architecture_layers
 budget_allocate tiered_prune
