@@ -82,32 +82,43 @@ def dependency_tree(edges: DataFrame, starts: DataFrame, max_depth: int = 2) ->
 def shortest_paths(edges: DataFrame, requests: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(query_id, from_id, to_id) -> (query_id, path): unweighted, ties by the smallest path.
 
-    A frontier row carries its path; rows that reach the same node are reduced to
-    the smallest path, which is enough because all paths of a round are equally
-    long. Requests leave the frontier when they are answered.
+    Two frontiers, one from each end, hold the least way to every node of their level; in a round the one with
+    fewer rows takes a step. They first meet when their steps together are the distance, in a node of every
+    shortest path, so the least of the joined ways is the answer. A request leaves both when it is
+    answered or when one of them has nowhere to go. ``max_rounds`` bounds the number of edges of a path.
     """
-    hop = pairs(edges).withColumnRenamed("src", "node_id")
-    frontier = requests.select("query_id", F.col("from_id").alias("node_id"), "to_id", F.array("from_id").alias("path"))
-    done = [frontier.filter("node_id = to_id").select("query_id", "path")]
-    frontier = cut(frontier.filter("node_id <> to_id").distinct(), "path")
-    seen = [frontier.select("query_id", "node_id")]
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
+    hop = cut(pairs(edges).filter("src <> dst"), "path-edges")
+    asked = cut(requests.select("query_id", "from_id", "to_id").distinct(), "path-asked")
+    done = [asked.filter("from_id = to_id").select("query_id", F.array("from_id").alias("path"))]
+    apart = asked.filter("from_id <> to_id")
+    sides = [
+        apart.select("query_id", F.col(end).alias("node_id"), F.array(end).alias("way")) for end in ("from_id", "to_id")
+    ]
+    seen = [[side.select("query_id", "node_id")] for side in sides]
+    steps = [
+        hop.select(F.col(near).alias("node_id"), F.col(far).alias("next_id")) for near, far in (("src", "dst"), ("dst", "src"))
+    ]
+    longer = [F.array_append, F.array_prepend]
+    sizes, stale, rounds = [apart.count()] * 2, [], 0
+    while sizes[0] and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        nxt = (
-            frontier.join(hop, "node_id")
-            .groupBy("query_id", F.col("dst").alias("node_id"), "to_id")
-            .agg(F.min("path").alias("path"))
-            .join(reduce(DataFrame.unionByName, seen), ["query_id", "node_id"], "left_anti")
-            .withColumn("path", F.array_append("path", F.col("node_id")))
-        )
-        nxt = cut(nxt, "path")
-        hits = nxt.filter("node_id = to_id").select("query_id", "path")
-        done.append(hits)
-        frontier = nxt.join(hits.select("query_id"), "query_id", "left_anti")
-        if frontier.isEmpty():
+        i = 0 if sizes[0] <= sizes[1] else 1
+        answered = reduce(DataFrame.unionByName, done).select("query_id")
+        moving = sides[i].join(sides[1 - i].select("query_id"), "query_id", "left_semi").join(answered, "query_id", "left_anti")
+        reached = moving.join(steps[i], "node_id").groupBy("query_id", F.col("next_id").alias("node_id")).agg(F.min("way").alias("way"))
+        fresh = reached.join(reduce(DataFrame.unionByName, seen[i]), ["query_id", "node_id"], "left_anti")
+        sides[i] = cut(fresh.withColumn("way", longer[i]("way", F.col("node_id"))), "path")
+        stale.append(sides[i])
+        seen[i].append(sides[i].select("query_id", "node_id"))
+        ahead, behind = (side.withColumnRenamed("way", name) for side, name in zip(sides, ("ahead", "behind")))
+        met = ahead.join(behind, ["query_id", "node_id"])
+        whole = F.concat("ahead", F.slice("behind", 2, F.size("behind")))
+        done.append(cut(met.groupBy("query_id").agg(F.min(whole).alias("path")), "path-found"))
+        sizes[i] = sides[i].join(done[-1].select("query_id"), "query_id", "left_anti").count()
+        if not sizes[i]:
             break
-        seen.append(nxt.select("query_id", "node_id"))
+    for table in (hop, *stale):
+        drop_cut(table)
     return reduce(DataFrame.unionByName, done)
 
 
@@ -400,27 +411,54 @@ def pagerank(
     return state.join(nodes.select("nid", "id"), "nid").select("id", "score")
 
 
-def layers(edges: DataFrame) -> DataFrame:
+def layers(edges: DataFrame, condense: bool = False) -> DataFrame:
     """(id, layer): nodes by rounds of removing those without an in-edge.
 
     Nodes on or behind a cycle are left when the rounds come to an end; they form one
-    last layer.
+    last layer. With ``condense`` every strongly connected component is contracted to one node first, so
+    all nodes get a layer of their component and edges between components lead to a later layer.
     """
-    hop = cut(pairs(edges), "layers")
-    nodes = hop.select(F.col("src").alias("id")).unionByName(hop.select(F.col("dst").alias("id"))).distinct()
-    degree = hop.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("deg"))
-    left = cut(nodes.join(degree, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg")), "layers")
+    every = cut(pairs(edges), "layers-edges")
+    nodes = every.select(F.col("src").alias("id")).unionByName(every.select(F.col("dst").alias("id"))).distinct()
+    if not condense:
+        return _peeled(nodes, every)
+    inner = _within_components(every.filter("src <> dst"))
+    named = components(inner.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id")))
+    member = cut(nodes.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("whole")), "layers-members")
+    ends = every.join(member.select(F.col("id").alias("src"), F.col("whole").alias("a")), "src")
+    ends = ends.join(member.select(F.col("id").alias("dst"), F.col("whole").alias("b")), "dst")
+    hop = cut(ends.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "layers-hop")
+    peeled = _peeled(member.select(F.col("whole").alias("id")).distinct(), hop)
+    return member.join(peeled.withColumnRenamed("id", "whole"), "whole").select("id", "layer")
+
+
+def _peeled(nodes: DataFrame, hop: DataFrame) -> DataFrame:
+    """(id, layer) of :func:`layers`; ``hop`` is a written table and goes when it is spent.
+
+    The edges of removed nodes are dropped whenever they are more than half of the table, so that all rounds
+    together read a small multiple of it.
+    """
+    ends = hop.select(F.col("dst").alias("id"), F.lit(1).alias("deg"), F.lit(0).alias("out")).unionByName(
+        hop.select(F.col("src").alias("id"), F.lit(0).alias("deg"), F.lit(1).alias("out"))
+    )
+    zero = nodes.select("id", F.lit(0).alias("deg"), F.lit(0).alias("out"))
+    left = cut(zero.unionByName(ends).groupBy("id").agg(F.sum("deg").alias("deg"), F.sum("out").alias("out")), "layers")
     out: list[DataFrame] = []
+    held, spent = left.agg(F.coalesce(F.sum("out"), F.lit(0))).first()[0], 0
     while True:
-        free = left.filter("deg = 0").select("id")
-        if free.isEmpty():
+        free = left.filter("deg = 0")
+        n_free, n_out = free.agg(F.count("*"), F.coalesce(F.sum("out"), F.lit(0))).first()
+        if not n_free:
             break
-        out.append(free.withColumn("layer", F.lit(len(out))))
-        gone = hop.join(free.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
-            F.count("*").alias("less")
-        )
+        out.append(free.select("id", F.lit(len(out)).alias("layer")))
+        gone = hop.join(free.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("less"))
         rest = left.filter("deg > 0").join(gone, "id", "left")
-        left = cut(rest.select("id", (F.col("deg") - F.coalesce("less", F.lit(0))).alias("deg")), "layers")
+        left = cut(rest.select("id", (F.col("deg") - F.coalesce("less", F.lit(0))).alias("deg"), "out"), "layers")
+        spent += n_out
+        if 2 * spent > held > 0:
+            after = cut(hop.join(left.select(F.col("id").alias("src")), "src", "left_semi"), "layers-hop")
+            drop_cut(hop)
+            hop, held, spent = after, held - spent, 0
     out.append(left.select("id", F.lit(len(out)).alias("layer")))
     return reduce(DataFrame.unionByName, out)
 

@@ -551,6 +551,33 @@ def _(spark, sf):
     return modules.architecture_layers(ledger_modules(spark, sf))
 
 
+REACH = """reach(s, x) AS (SELECT src, dst FROM looped UNION SELECT s, dst FROM reach JOIN looped ON src = x),
+nodes AS (SELECT src AS id FROM looped UNION SELECT dst FROM looped)"""
+
+
+@register(
+    "layers_with_cycles",
+    f"""{L}, {LOOPED}, {REACH}, cyclic AS (SELECT s AS id FROM reach WHERE s = x), behind AS (SELECT id FROM cyclic UNION SELECT x FROM reach SEMI JOIN cyclic ON id = s),
+    walk AS (SELECT id, 0 AS d FROM nodes WHERE id NOT IN (SELECT dst FROM looped) UNION SELECT dst, d + 1 FROM walk JOIN looped ON src = id WHERE dst NOT IN (SELECT id FROM behind)),
+    free AS (SELECT id, max(d) AS layer FROM walk GROUP BY id)
+    SELECT id, CAST(layer AS BIGINT) AS layer FROM free UNION ALL SELECT id, CAST((SELECT coalesce(max(layer), -1) + 1 FROM free) AS BIGINT) FROM behind""",
+)
+def _(spark, sf):
+    return graph.layers(looped_calls(spark, sf))
+
+
+@register(
+    "layers_condensed",
+    f"""{L}, {LOOPED}, {REACH}, mutual AS (SELECT a.s AS id, min(a.x) AS whole FROM reach a SEMI JOIN reach b ON b.s = a.x AND b.x = a.s GROUP BY a.s),
+    member AS MATERIALIZED (SELECT id, coalesce(whole, id) AS whole FROM nodes LEFT JOIN mutual USING (id)),
+    chop AS MATERIALIZED (SELECT DISTINCT a.whole AS src, b.whole AS dst FROM looped JOIN member a ON a.id = src JOIN member b ON b.id = dst WHERE a.whole <> b.whole),
+    walk AS (SELECT DISTINCT whole, 0 AS d FROM member WHERE whole NOT IN (SELECT dst FROM chop) UNION SELECT dst, d + 1 FROM walk JOIN chop ON src = whole)
+    SELECT id, CAST(max(d) AS BIGINT) AS layer FROM walk JOIN member USING (whole) GROUP BY id""",
+)
+def _(spark, sf):
+    return graph.layers(looped_calls(spark, sf), condense=True)
+
+
 @register(
     "module_pagerank",
     f"{L}, mhop AS (SELECT source_id AS src, target_id AS dst FROM lmod), {v.rank_rounds(RANK_ROUNDS, 'mhop')} SELECT id AS module, round(score, 9) AS score FROM ranks",

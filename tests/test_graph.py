@@ -66,6 +66,31 @@ def test_shortest_paths(spark, make_edges):
     assert got == {1: ["a", "b", "d", "e"], 2: None, 3: ["b"]}
 
 
+@pytest.mark.parametrize("seed,n,m", [(1, 14, 22), (2, 30, 48), (3, 8, 40)])
+def test_shortest_paths_equal_a_search_from_one_end(spark, make_edges, seed, n, m):
+    pairs = [*random_pairs(n, m, seed), ("n1", "n1"), ("n1", "n2"), ("n1", "n2")]
+    nodes = sorted({x for p in pairs for x in p})
+    step = {x: sorted({d for s, d in pairs if s == x}) for x in nodes}
+
+    def least(start, end):
+        level, seen = {start: [start]}, {start}
+        while level and end not in level:
+            grown = {}
+            for x, way in level.items():
+                for y in step[x]:
+                    if y not in seen:
+                        grown[y] = min(grown.get(y, [*way, y]), [*way, y])
+            level, seen = grown, seen | set(grown)
+        return level.get(end)
+
+    asked = [(i, a, b) for i, (a, b) in enumerate(itertools.product(nodes, nodes))] + [(-1, "n1", "nowhere"), (-2, None, "n1")]
+    rows = graph.shortest_paths(make_edges(pairs), spark.createDataFrame([*asked, asked[0]], "query_id int, from_id string, to_id string")).collect()
+    got = {r.query_id: r.path for r in rows}
+    assert len(got) == len(rows) and got == {i: w for i, a, b in asked if a and b in step and (w := least(a, b))}
+    short = graph.shortest_paths(make_edges(pairs), spark.createDataFrame(asked, "query_id int, from_id string, to_id string"), 2).collect()
+    assert {r.query_id: r.path for r in short} == {i: w for i, w in got.items() if len(w) <= 3}
+
+
 def test_tree_takes_the_least_depth(spark, make_edges):
     e = make_edges([("a", "b"), ("b", "c"), ("a", "c", "IMPORTS"), ("c", "d")])
     got = {(r.node_id, r.parent_id, r.depth, r.edge_type) for r in graph.dependency_tree(e, requests(spark, "a"), 2).collect()}
@@ -195,6 +220,33 @@ def test_cyclic_modules_form_the_last_layer(make_edges):
     assert {(r.module, r.layer) for r in modules.architecture_layers(links).collect()} == {("module_a", 0), ("module_b", 0)}
 
 
+@pytest.mark.parametrize("seed,n,m", [(1, 30, 28), (2, 40, 45), (3, 10, 40)])
+def test_layers_equal_peeling(make_edges, seed, n, m):
+    pairs = [*random_pairs(n, m, seed), ("n3", "n3"), ("top", "n0"), ("alone", "alone")]
+    nodes = {x for p in pairs for x in p}
+
+    def peel(nodes, pairs):
+        layer, left = {}, set(nodes)
+        while free := {x for x in left if not any(d == x and s in left for s, d in pairs)}:
+            layer |= dict.fromkeys(free, max(layer.values(), default=-1) + 1)
+            left -= free
+        return layer | dict.fromkeys(left, max(layer.values(), default=-1) + 1)
+
+    assert {r.id: r.layer for r in graph.layers(make_edges(pairs)).collect()} == peel(nodes, pairs)
+    reach = {x: {x} for x in nodes}
+    for _ in nodes:
+        for s, d in pairs:
+            reach[s] |= reach[d]
+    whole = {x: min(y for y in nodes if y in reach[x] and x in reach[y]) for x in nodes}
+    want = peel(set(whole.values()), {(whole[s], whole[d]) for s, d in pairs if whole[s] != whole[d]})
+    assert {r.id: r.layer for r in graph.layers(make_edges(pairs), condense=True).collect()} == {x: want[whole[x]] for x in nodes}
+
+
+def test_layers_of_no_edges(make_edges):
+    none = make_edges([("a", "b")]).limit(0)
+    assert graph.layers(none).collect() == [] and graph.layers(none, condense=True).collect() == []
+
+
 def test_degree_counts_edge_rows(make_edges, make_units):
     from kodagraf.operators import repomap
 
