@@ -6,6 +6,9 @@ vocabulary, takes the lowest rank of each word, and merges its occurrences from
 right; words without a known pair leave. Results are kept per task in a table of bounded
 size, so each frequent word is merged once.
 
+In a long word a round merges every pair whose rank is the lowest among the pairs around it, as far as the longest token
+reaches: nothing can take its symbols first, so the result is the same and the rounds do not grow with the word.
+
 The vocabulary file is that of a public tokenizer, read on the executors from a path
 parameter (the library is installed on all of them).
 """
@@ -30,6 +33,10 @@ from kodagraf.llm import text as t
 BATCH = 2 << 20
 #: Words kept with their result in a task.
 KEPT = 200_000
+#: Words of more bytes than this are merged by neighbourhoods.
+LONG = 1_000
+#: The rank of a pair that is not in the vocabulary.
+NO_RANK = np.iinfo(np.int32).max
 #: Unicode white space.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Below this code point text is in composed form already, unless it holds a combining mark.
@@ -73,6 +80,12 @@ class Bpe:
         key = (left << 20) | right
         _, first = np.unique(key, return_index=True)
         self.keys, self.ranks, self.made = key[first], first, made[first]
+        # Neighbourhoods are exact if each token is made by one merge, which follows those that make its parts.
+        step = np.full(max(self.tokens) + 1, -1)
+        step[made] = np.arange(len(made))
+        parts_first = np.maximum(step[left], step[right]) < np.arange(len(made))
+        one_each = len(np.unique(made)) == len(made) == len(first)
+        self.reach = max(len(s.removesuffix(self.end)) for s in vocab) if one_each and parts_first.all() else None
         from tokenizers import Tokenizer
 
         self.normalizer = Tokenizer.from_file(path).normalizer
@@ -100,12 +113,62 @@ class Bpe:
     def merge(self, words: list[str]) -> list[list[int]]:
         """Token ids of many words at once."""
         coded = [w.encode() for w in words]
+        long = [i for i, c in enumerate(coded) if len(c) > LONG and self.reach]
+        if not long:
+            return self._merge_words(coded)
+        apart = set(long)
+        short = [i for i in range(len(coded)) if i not in apart]
+        out: list[list[int]] = [[]] * len(coded)
+        for i, ids in zip(long, self._merge_long([coded[i] for i in long])):
+            out[i] = ids
+        if short:
+            for i, ids in zip(short, self._merge_words([coded[i] for i in short])):
+                out[i] = ids
+        return out
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs and the tokens they make."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK).astype(np.int32), self.made[at]
+
+    def _merge_long(self, coded: list[bytes]) -> list[list[int]]:
+        """Rounds over long words that merge the pairs of lowest rank within ``reach`` symbols; only changed pairs are looked up again."""
+        ends = np.cumsum([len(c) for c in coded])
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        symbol = self.byte_id[raw]
+        symbol[ends - 1] = self.last_id[raw[ends - 1]]
+        last = np.zeros(len(symbol), bool)
+        last[ends - 1] = True
+        rank, made = self._ranked(symbol, np.append(symbol[1:], 0))
+        rank[last] = NO_RANK
+        while (known := rank < NO_RANK).any():
+            hit = known & (rank == _lowest_around(rank, self.reach))
+            # Overlapping pairs of one rank (as in "aaa") merge from the left, and only all together.
+            starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+            sizes = np.diff(np.append(starts, len(rank)))
+            hit &= np.repeat(np.logical_and.reduceat(hit, starts), sizes)
+            hit &= (np.arange(len(rank)) - np.repeat(starts, sizes)) % 2 == 0
+            chosen = np.flatnonzero(hit)
+            symbol[chosen], last[chosen] = made[chosen], last[chosen + 1]
+            keep = np.ones(len(symbol), bool)
+            keep[chosen + 1] = False
+            symbol, last, rank, made = symbol[keep], last[keep], rank[keep], made[keep]
+            merged = chosen - np.arange(len(chosen))
+            changed = np.unique(np.concatenate([merged, np.maximum(merged - 1, 0)]))
+            after = np.minimum(changed + 1, len(symbol) - 1)
+            rank[changed], made[changed] = self._ranked(symbol[changed], symbol[after])
+            rank[last] = NO_RANK
+        cut = np.flatnonzero(last) + 1
+        return [part.tolist() for part in np.split(symbol, cut[:-1])]
+
+    def _merge_words(self, coded: list[bytes]) -> list[list[int]]:
         sizes = np.array([len(c) for c in coded], np.int64)
         raw = np.frombuffer(b"".join(coded), np.uint8)
         symbol = self.byte_id[raw]
         ends = np.cumsum(sizes)
         symbol[ends - 1] = self.last_id[raw[ends - 1]]
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(coded)), sizes)
         done_words, done_symbols = [], []
         while len(symbol):
             inside = word[1:] == word[:-1]
@@ -136,11 +199,23 @@ class Bpe:
         owner = np.concatenate(done_words)
         order = np.argsort(owner, kind="stable")
         ids, owner = ids[order], owner[order]
-        cut = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        cut = np.searchsorted(owner, np.arange(len(coded) + 1)).tolist()
         ids_list = ids.tolist()
         return [ids_list[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
+def _lowest_around(rank: np.ndarray, reach: int) -> np.ndarray:
+    """The least rank from ``reach`` places before to ``reach`` places after each place."""
+    width, span = 2 * reach + 1, 1
+    edge = np.full(reach, NO_RANK, rank.dtype)
+    low = np.concatenate([edge, rank, edge])
+    while 2 * span <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(low[: len(low) - rest], low[rest:])
+
+
 class Encoder:
     """Encodes texts batch by batch and remembers words up to a bound."""
 
@@ -213,7 +288,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids (decimal, joined by one space) and the decoded text.
 
     A null or empty text, or one of white space only, has no tokens; both strings are
-    then empty. Rows are independent: repeated rows repeat, an empty table stays empty.
+    then empty. Rows are independent: repeated rows repeat, an empty table stays empty. A very long text is
+    encoded whole by one task; the time grows with its length, also if it is a single word.
     A column that has the name of a result gives way to it.
     """
     return _mapped(docs, path, TOKENS, digest=False)

@@ -313,6 +313,19 @@ def test_bpe_strings():
         assert decoded == tok.decode(want, skip_special_tokens=False) and n == len(want)
 
 
+def test_bpe_long_words():
+    tok = Tokenizer.from_file(bpe.default_path())
+    vocabulary = bpe.Bpe(bpe.default_path())
+    assert vocabulary.reach
+    rng = random.Random(11)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    words = [draw("abcdefghijklmnopqrstuvwxyz", 60_000), draw("acgt", 30_000), draw("ae", 20_000), draw("aaaab", 5_000), "x" * 10_001]
+    words += ["".join(rng.choice(["the", "tion", "ing", "a", "aa", "pre"]) for _ in range(9_000)), draw("éßa日", 8_000), "short", "no"]
+    words += [draw("abst", rng.randrange(bpe.LONG - 2, bpe.LONG + 3)) for _ in range(6)]
+    for word, ids in zip(words, vocabulary.merge(words)):
+        assert ids == tok.encode(word, add_special_tokens=False).ids, word[:40]
+
+
 def test_quality(docs):
     texts = dict(pairs(docs))
     for r in quality.report(with_extras(docs)).collect():
