@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,8 +266,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, wi
     named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
     text = f"_c{docs.columns.index('text')}"
 
-    def run(rows: DataFrame, items: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)  # at most BLOCK bytes
+    def run(rows: DataFrame, sent: Broadcast) -> DataFrame:
         schema = T.StructType(rows.schema.fields + RESULT.fields)
         arrow = to_arrow_schema(schema)
 
@@ -280,12 +280,20 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, wi
 
         return rows.mapInArrow(search, schema)
 
-    blocks = list(_blocks(benchmark, id_col, text_col)) or [[]]
-    if len(blocks) == 1:
-        return run(named, blocks[0])
+    blocks = _blocks(benchmark, id_col, text_col)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return run(named, spark.sparkContext.broadcast(block))  # at most BLOCK bytes
+    # One block at a time is on the driver and in the workers; its spans are written before the next is read.
     wide = cut(named.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
-    parts = [run(wide.select("row", text), items).drop(text) for items in blocks]
-    found = cut(reduce(DataFrame.unionByName, parts), "decontam-spans")
+    parts: list[DataFrame] = []
+    while block is not None:
+        sent = spark.sparkContext.broadcast(block)
+        spans = run(wide.select("row", text), sent).drop(text)
+        parts.append(cut(spans.filter(F.size("spans") > 0) if parts else spans, "decontam-spans"))
+        sent.destroy()
+        block, following = following, next(blocks, None)
+    found = reduce(DataFrame.unionByName, parts)
     united = found.groupBy("row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
