@@ -958,6 +958,79 @@ def _(spark, sf):
     return extract.find_constructs(order_files(spark, sf)).select("path", "construct", "line")
 
 
+def source_files(rows: DataFrame, path: str, language: str, lines: list[str]) -> DataFrame:
+    """A file for each row; the lines are SQL expressions of its columns."""
+    return rows.select(F.expr(path).alias("path"), F.lit(language).alias("language"), F.expr(f"concat_ws('\\n', {', '.join(lines)})").alias("content"))
+
+
+def customer_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    lines = [
+        "'import {'", "concat('  Base_', n, ',')", "'  Helper // } from'", "concat('} from \"lib/n', n, '\";')", "concat('/* class Ghost_', k, ' {} */')",
+        "concat('export class Cust_', k, ' extends Base_', n, ' {')", "concat('  run(a: string): number { const t_', k, ' = \"function no(\"; let u = 1; return u }')", "'}'",
+        "concat('export const go_', k, ' = (a) => a, far_', k, ' = async (b): Promise<number> => { return b };')",
+        "concat('interface I_', n, ' { x(): void } type T_', k, ' = string;')", "concat('function* gen_', k, '() {} async function load_', k, '() {}')", "concat('run(function cb_', k, '(z) {})')",
+    ]
+    return source_files(rows, "concat('web/c', k, '.ts')", "typescript", lines)
+
+
+def supplier_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    lines = [
+        "concat('package p', n)", "''", "'import ('", "'  \"fmt\"'", "concat('  alias \"lib/n', n, '\"')", "')'", "'import \"os\"'", "'const ('", "concat('  A_', k, ' = iota // B_0 = 1')",
+        "concat('  B_', k, ', C_', k, ' = 1, 2')", "')'", "concat('var x_', k, ', y_', k, ' = f(')", "'  1,'", "'), 2'", "'type ('", "concat('  S_', k, ' struct {')", "'    A int'", "'  }'",
+        "concat('  R_', k, ' interface { M() }')", "concat('  N_', k, ' int')", "')'", "concat('type Z_', k, ' = S_', k)", "'func init() {'", "concat('  var local_', k, ' = \"const (\"')", "'}'",
+        "concat('func (s *S_', k, ') Get_', k, '() int { return 1 }')", "'func main() {}'", "concat('func Gen_', k, '[T any](a T) {}')",
+    ]
+    return source_files(rows, "concat('svc/s', k, '.go')", "go", lines)
+
+
+def hits_sql(rows: str, path: str, hits: list[tuple[str, int, str]]) -> str:
+    listed = ", ".join(f"{{'construct': '{kind}', 'line': {line}, 'text': {text}}}" for kind, line, text in hits)
+    return f"SELECT path, h.construct AS construct, CAST(h.line AS BIGINT) AS line, h.text AS text FROM (SELECT {path} AS path, unnest([{listed}]) AS h FROM ({rows}))"
+
+
+CUSTOMER_HITS = [
+    ("import", 1, "'import {' || chr(10) || '  Base_' || n || ',' || chr(10) || '  Helper // } from' || chr(10) || '} from \"lib/n' || n || '\";'"),
+    ("export", 6, "'export class Cust_' || k || ' extends Base_' || n || ' {'"), ("class", 6, "'Cust_' || k"), ("method", 7, "'run'"), ("variable", 7, "'t_' || k"), ("variable", 7, "'u'"),
+    ("export", 9, "'export const go_' || k || ' = (a) => a, far_' || k || ' = async (b): Promise<number> => { return b };'"), ("variable", 9, "'go_' || k"),
+    ("arrow_function", 9, "'go_' || k"), ("arrow_function", 9, "'far_' || k"), ("interface", 10, "'I_' || n"), ("type_alias", 10, "'T_' || k"), ("generator_function", 11, "'gen_' || k"),
+    ("function", 11, "'load_' || k"), ("async_function", 11, "'load_' || k"), ("function_expression", 12, "'cb_' || k"),
+]
+GO_IMPORTS = [
+    ("import", 3, "'import (' || chr(10) || '  \"fmt\"' || chr(10) || '  alias \"lib/n' || n || '\"' || chr(10) || ')'"),
+    ("import_list", 3, "'(' || chr(10) || '  \"fmt\"' || chr(10) || '  alias \"lib/n' || n || '\"' || chr(10) || ')'"),
+    ("import_spec", 4, "'\"fmt\"'"), ("import_spec", 5, "'alias \"lib/n' || n || '\"'"), ("import", 7, "'import \"os\"'"), ("import_spec", 7, "'\"os\"'"),
+]
+SUPPLIER_HITS = [
+    *GO_IMPORTS, ("package", 1, "'p' || n"), ("const", 9, "'A_' || k"), ("const", 10, "'B_' || k"), ("const", 10, "'C_' || k"), ("var", 12, "'x_' || k"), ("var", 12, "'y_' || k"),
+    ("struct", 16, "'S_' || k"), ("type_alias", 16, "'S_' || k"), ("interface", 19, "'R_' || k"), ("type_alias", 19, "'R_' || k"), ("type_alias", 20, "'N_' || k"), ("type_alias", 22, "'Z_' || k"),
+    ("function", 23, "'init'"), ("init_function", 23, "'init'"), ("var", 24, "'local_' || k"), ("method", 26, "'Get_' || k"), ("function", 27, "'main'"), ("main_function", 27, "'main'"),
+    ("function", 28, "'Gen_' || k"),
+]
+CUSTOMER_ROWS, CUSTOMER_PATH = "SELECT c_custkey AS k, c_nationkey AS n FROM customer", "'web/c' || k || '.ts'"
+SUPPLIER_ROWS, SUPPLIER_PATH = "SELECT s_suppkey AS k, s_nationkey AS n FROM supplier", "'svc/s' || k || '.go'"
+
+
+@register("find_constructs_ts", hits_sql(CUSTOMER_ROWS, CUSTOMER_PATH, CUSTOMER_HITS))
+def _(spark, sf):
+    return extract.find_constructs(tables.spread(customer_files(spark, sf))).select("path", "construct", "line", "text")
+
+
+@register("find_constructs_go", hits_sql(SUPPLIER_ROWS, SUPPLIER_PATH, SUPPLIER_HITS))
+def _(spark, sf):
+    return extract.find_constructs(tables.spread(supplier_files(spark, sf))).select("path", "construct", "line", "text")
+
+
+@register(
+    "find_imports_grouped",
+    f"SELECT path, line, text FROM ({hits_sql(SUPPLIER_ROWS, SUPPLIER_PATH, GO_IMPORTS)}) UNION ALL SELECT path, line, text FROM ({hits_sql(CUSTOMER_ROWS, CUSTOMER_PATH, CUSTOMER_HITS[:1])})",
+)
+def _(spark, sf):
+    files = supplier_files(spark, sf).unionByName(customer_files(spark, sf))
+    return extract.find_imports(tables.spread(files)).select("path", "line", "text")
+
+
 # Budgets
 
 DOCS = v.with_views(v.DOCS)
@@ -1303,19 +1376,15 @@ def _(spark, sf):
 
 @register("stream_debounce", DEBOUNCED)
 def _(spark, sf):
-    """The same bursts from a stream, in complete mode so that the last ones are not held back."""
-    schema = tables.table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    live = changes.debounce_stream(tables.as_changes(source), GAP, "1 day")
+    """The same bursts from a stream in append mode; a marker of a much later time, as a live source would send, closes the last ones."""
     state = f"{shared_dir(spark)}/stream-{tables.fresh_name()}"
-    target = f"{state}-out"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
-    run = live.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state)
-    run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).select("path", "change_type", F.unix_micros("ts").alias("ts_us"), "n_events")
+    schema = tables.table(spark, sf, "events").schema
+    live = tables.as_changes(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+    marker = tables.change_events(spark, sf).limit(1).withColumns({"path": F.lit(""), "ts": F.lit("2200-01-01").cast("timestamp")})
+    marker.write.parquet(f"{state}-marker")
+    live = live.unionByName(spark.readStream.schema(marker.schema).parquet(f"{state}-marker"))
+    changes.start_debouncing(live, f"{state}-out", state, GAP, "1 day", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{state}-out").select("path", "change_type", F.unix_micros("ts").alias("ts_us"), "n_events")
 
 
 @register("latest_changes", f"WITH {CHANGES} SELECT path, arg_max(change_type, ts) AS change_type FROM ch GROUP BY path")

@@ -74,6 +74,31 @@ def debounce_stream(changes: DataFrame, gap: str = GAP, lateness: str = "10 seco
     return debounce(changes.withWatermark("ts", lateness), gap)
 
 
+def start_debouncing(
+    changes: DataFrame,
+    target: str,
+    checkpoint: str,
+    gap: str = GAP,
+    lateness: str = "10 seconds",
+    trigger: str = "1 second",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Append each burst to the Parquet folder ``target`` once, when the watermark has passed its end.
+
+    A burst's state goes with it, so the state holds open bursts only. Bursts younger than ``lateness`` stay open
+    until later changes come, of any path. Changes that come too late are dropped and counted by :func:`late_changes`.
+    """
+    writer = debounce_stream(changes, gap, lateness).writeStream.outputMode("append").format("parquet")
+    writer = writer.option("path", target).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
+    return writer.start()
+
+
+def late_changes(query: StreamingQuery) -> int:
+    """Sessions dropped as too late in the progress that the query still holds; changes of a path that came together are one."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def latest_per_path(changes: DataFrame) -> DataFrame:
     """One row per path, its last change."""
     last = changes.groupBy("path").agg(F.max(F.struct("ts", "change_type")).alias("_l"))

@@ -268,6 +268,24 @@ def test_constructs(spark):
     assert {("a.py", "decorator", 1, "dec"), ("a.py", "global", 3, "g"), ("a.py", "augmented_assignment", 4, "x"), ("a.py", "lambda", 5, "lambda a:"), ("b.go", "package", 1, "p"), ("b.go", "init_function", 2, "init"), ("b.go", "struct", 4, "S")} <= got
 
 
+def test_constructs_over_lines_and_in_strings():
+    def hits(text, language, *kinds):
+        return [(k, line, x) for k, line, x in extract.constructs_of(text, language) if not kinds or k in kinds]
+
+    py = "from a import (\n    b,  # import no\n    c,\n)\nx = 1; y = 2; z += 3\nf(\n    kw=1,\n)\n\"\"\"\nimport hidden\n\"\"\"\nif x: import os\nimport p, \\\n    q\nd = {\"k\": lambda v: v, \"l\": lambda: 0}\n"
+    assert hits(py, "python", "import") == [("import", 1, "from a import (\n    b,  # import no\n    c,\n)"), ("import", 12, "import os"), ("import", 13, "import p, \\\n    q")]
+    assert [h[1:] for h in hits(py, "python", "assignment")] == [(5, "x"), (5, "y"), (15, "d")]
+    assert hits(py, "python", "augmented_assignment", "lambda") == [("augmented_assignment", 5, "z"), ("lambda", 15, "lambda v:"), ("lambda", 15, "lambda:")]
+    go = "type (\n\tA[T any] struct{ x T }\n\tB = int\n)\nconst C = \"import (\"\nvar (\n\td = g(\n\t\t1,\n\t)\n\te int; f int\n)\n"
+    assert [h[:2] + (h[2],) for h in hits(go, "go")] == [("type_alias", 2, "A"), ("struct", 2, "A"), ("type_alias", 3, "B"), ("const", 5, "C"), ("var", 7, "d"), ("var", 10, "e"), ("var", 10, "f")]
+    ts = "import a from 'x' // import b\nimport('y')\nconst s = `class No ${1}`\nexport {\n  u,\n}\n"
+    assert hits(ts, "typescript", "import", "class", "export") == [("import", 1, "import a from 'x'"), ("export", 4, "export {\n  u,\n}")]
+    for language in extract.CONSTRUCTS:
+        assert extract.constructs_of("", language) == []
+        for broken in (")]}", "import (", "const (", "\"\"\"", "type", "((((" * 5_000, "x" * 200_000):
+            extract.constructs_of(broken, language)
+
+
 def test_scan_and_index(spark, tmp_path):
     (tmp_path / "pkg" / "node_modules").mkdir(parents=True)
     for name, text in {"pkg/__init__.py": "def top():\n    helper()\n", "pkg/b.py": "def helper():\n    pass\n", "pkg/node_modules/x.js": "function no() {}", "pkg/empty.py": "", "pkg/gen_1.py": "def gen(): pass", "pkg/note.txt": "hello", ".gitignore": "gen_*\n!gen_1.py\n"}.items():

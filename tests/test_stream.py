@@ -43,3 +43,24 @@ def test_stream_hands_over_actions_once(spark, tmp_path):
         changes.start_indexing(stream, apply, str(tmp_path / "state"), available_now=True).awaitTermination()
     assert sorted(seen) == [("a", "index"), ("b", "remove")]
     assert changes.latest_per_path(events(spark, [("a", "created", 0, None), ("a", "deleted", 1, None)])).first().change_type == "deleted"
+
+
+def test_appended_bursts_leave_the_state(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    second = 1_000_000
+    batches = [
+        [(f"p{i}", "created", i * 1000, None) for i in range(20)] + [("p0", "deleted", 200_000, None)],
+        [("q", "modified", 60 * second, None)],
+        [("p1", "modified", 5 * second, None), ("q", "modified", 60 * second + 400_000, None)],
+        [("r", "modified", 200 * second, None)],
+    ]
+    for i, rows in enumerate(batches):
+        events(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(CHANGES).parquet(source)
+        query = changes.start_debouncing(stream, target, str(tmp_path / "state"), available_now=True)
+        query.awaitTermination()
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert held == [20, 1, 1, 1][i]  # open bursts only, however many went through
+        assert changes.late_changes(query) == (1 if i == 2 else 0)
+    got = {(r.path, r.change_type, r.n_events) for r in spark.read.parquet(target).collect()}
+    assert got == {("p0", "created", 2), *((f"p{i}", "created", 1) for i in range(1, 20)), ("q", "modified", 2)}
