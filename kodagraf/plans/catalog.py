@@ -958,6 +958,19 @@ def _(spark, sf):
     return extract.find_constructs(order_files(spark, sf)).select("path", "construct", "line")
 
 
+@register(
+    "index_report",
+    f"{L}, {ORDER_LINES} SELECT count(DISTINCT file_path) AS n_files, count(*) AS n_units, CAST(0 AS BIGINT) AS n_failed, count(DISTINCT file_path) AS n_rows FROM ol",
+)
+def _(spark, sf):
+    """A run over the order files: what it counted while it wrote, and the rows of its files table that have a time."""
+    target = f"{shared_dir(spark)}/index-{tables.fresh_name()}"
+    files = order_files(spark, sf).withColumn("last_modified", F.lit("2024-01-01").cast("timestamp"))
+    done = index.run_index(files, f"{target}-units", f"{target}-edges", scope="file")
+    rows = done.files.filter("last_modified < indexed_at").agg(F.count("*").alias("n_rows"))
+    return rows.select(*[F.lit(getattr(done, n)).cast("long").alias(n) for n in ("n_files", "n_units", "n_failed")], "n_rows")
+
+
 def source_files(rows: DataFrame, path: str, language: str, lines: list[str]) -> DataFrame:
     """A file for each row; the lines are SQL expressions of its columns."""
     return rows.select(F.expr(path).alias("path"), F.lit(language).alias("language"), F.expr(f"concat_ws('\\n', {', '.join(lines)})").alias("content"))

@@ -304,6 +304,30 @@ def test_scan_and_index(spark, tmp_path):
     assert with_hidden.count() == 6
 
 
+def test_index_report(spark, tmp_path):
+    rows = [("a.py", "def f():\n    g()\n", 1.5e9), ("b.py", "def g():\n    pass\n", 1.6e9), ("bad.py", "def h(): pass", 1.7e9), ("c.txt", "text", 0.0), ("d.py", "", None), ("e.py", None, None)]
+    files = spark.createDataFrame(rows, "path string, content string, at double").withColumn("last_modified", F.col("at").cast("timestamp")).drop("at")
+
+    def read(path, content, language):
+        if path == "bad.py":
+            raise ValueError("no good")
+        return extract.file_units(path, content, language)
+
+    done = index.run_index(files, str(tmp_path / "u"), str(tmp_path / "e"), read=read)
+    assert (done.n_files, done.n_units, done.n_failed) == (3, 2, 1) and done.seconds > 0
+    assert [tuple(r) for r in done.failed.collect()] == [("bad.py", "ValueError: no good")]
+    written = spark.read.parquet(str(tmp_path / "u")), spark.read.parquet(str(tmp_path / "e"))
+    again = index.build_index(files.filter("path <> 'bad.py'"))
+    for a, b in zip(written, again):
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(*a.columns).collect()), key=repr)
+    assert done.n_edges == written[1].count() > 0
+    table = {r.path: (r.last_modified, r.language, r.indexed_at) for r in done.files.collect()}
+    assert set(table) == {"a.py", "b.py", "d.py"} and table["a.py"][0] < table["b.py"][0] < table["b.py"][2] and table["d.py"][0] is None
+    assert done.files.columns == ["path", "last_modified", "language", "indexed_at"]
+    nothing = index.run_index(files.limit(0), str(tmp_path / "u0"), str(tmp_path / "e0"))
+    assert (nothing.n_files, nothing.n_units, nothing.n_edges, nothing.n_failed) == (0, 0, 0, 0)
+
+
 def test_config(tmp_path):
     assert config.load_config(project_root=str(tmp_path)).max_file_size == 1_048_576
     config.save_config(config.IndexConfig(languages=["go"], project_root=str(tmp_path), log_level="debug"))
