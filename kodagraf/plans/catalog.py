@@ -15,12 +15,13 @@ from kodagraf.functions import globs, scoring, tokens
 from kodagraf.functions.ids import is_exported, module_path, symbol_name
 from kodagraf.functions.languages import detect_language
 from kodagraf.functions.text import COMMON_WORDS, query_symbols
-from kodagraf.operators import budget, context, edges, graph, index, lookup, modules, repomap, search, skeleton
+from kodagraf.operators import budget, context, edges, graph, index, lookup, modules, repomap, search, skeleton, stored
 from kodagraf.params import BuildConfig, PruneConfig
 from kodagraf.plans import sqlviews as v
 from kodagraf.runtime import cut, shared_dir
 from kodagraf.sources import extract, scan, tables
-from kodagraf.streaming import changes
+from kodagraf.sources.store import Store
+from kodagraf.streaming import changes, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -746,8 +747,8 @@ customer AS (SELECT c_custkey, c_nationkey FROM main.customer WHERE c_custkey //
 CHANGED_EDGES = f"SELECT source_id, target_id, 'CALLS' AS edge_type FROM calls UNION SELECT file_path, id, 'DEFINES' FROM lunits UNION {IMPLEMENTS} UNION {IMPORT_EDGES}"
 
 
-def changed_ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Units, edges and the inverted list of the ledger after the change, from those before it."""
+def ledger_change(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units of the ledger before the change, paths that it touches, and the new units of these."""
     before = tables.stored_edges(spark, sf, "ledger-units", lambda: ledger(spark, sf))
     tables_of = {n: tables.table(spark, sf, n) for n in ("nation", "customer", "orders")}
     turned = tables_of["orders"].filter("o_orderkey div 32 % 5 = 1").selectExpr("o_orderkey", "o_custkey div 2 AS o_custkey")
@@ -756,7 +757,12 @@ def changed_ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     rows = before.withColumn("k", number)
     order, client = F.col("unit_kind") == "FUNCTION", F.col("unit_kind") == "CLASS"
     hit = (order & F.expr("k div 32 % 5 IN (1, 2)")) | (client & F.expr("k div 16 % 4 = 3"))
-    touched = rows.filter(hit).select(F.col("file_path").alias("path")).distinct()
+    return before, rows.filter(hit).select(F.col("file_path").alias("path")).distinct(), fresh
+
+
+def changed_ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units, edges and the inverted list of the ledger after the change, from those before it."""
+    before, touched, fresh = ledger_change(spark, sf)
     refs = tables.stored_edges(spark, sf, "ledger-refs", lambda: edges.references(before))
     built = tables.stored_edges(spark, sf, "ledger-all", lambda: edges.build_edges(before))
     return index.replace_units(before, built, refs, touched, fresh)
@@ -772,6 +778,26 @@ def _(spark, sf):
     return changed_ledger(spark, sf)[0].select("id", "file_path", "start_line")
 
 
+@register(
+    "stored_index",
+    f"""{v.with_views(CHANGED, v.LEDGER)}, {IMPORTS}, e AS ({CHANGED_EDGES}) SELECT edge_type AS kind, source_id AS a, target_id AS b FROM e
+    UNION ALL SELECT 'unit', id, file_path FROM lunits UNION ALL SELECT DISTINCT 'file', file_path, CASE WHEN file_path LIKE '%.ts' THEN 'typescript' ELSE 'python' END FROM lunits""",
+)
+def _(spark, sf):
+    """The ledger in versioned tables, read after the change was written into the buckets that it touches."""
+    kept = Store(spark, f"{shared_dir(spark)}/stored-{tables.fresh_name()}")
+    before, touched, fresh = ledger_change(spark, sf)
+
+    def rows(units: DataFrame) -> DataFrame:
+        return index.file_rows(units).selectExpr("path", "timestamp(NULL) AS last_modified", "language", "current_timestamp() AS indexed_at")
+
+    stored.store_units(kept, before, rows(before))
+    at = stored.replace_stored(kept, touched, fresh, rows(fresh))
+    units = kept.read("units", at).select(F.lit("unit").alias("kind"), F.col("id").alias("a"), F.col("file_path").alias("b"))
+    links = kept.read("edges", at).select("edge_type", "source_id", "target_id")
+    return links.union(units).union(kept.read("files", at).select(F.lit("file"), "path", "language")).toDF("kind", "a", "b")
+
+
 @register(
     "references",
     f"""{L}, r AS (SELECT id AS source_id, 'call' AS kind, unnest(['Cust_' || ckey, 'ledger.order_' || (okey // 2), '.order_' || (okey // 2), 'order_' || (okey // 2), 'preorder_' || okey, 'require']) AS word FROM lunits WHERE unit_kind = 'FUNCTION'
@@ -1400,6 +1426,36 @@ def _(spark, sf):
     return spark.read.parquet(f"{state}-out").select("path", "change_type", F.unix_micros("ts").alias("ts_us"), "n_events")
 
 
+@register(
+    "listing_changes",
+    """WITH b AS (SELECT 'site/' || page_id || '.html' AS path, length(url) AS size, page_id // 2 AS t, page_id FROM pages),
+    a AS (SELECT CASE page_id % 7 WHEN 1 THEN 'moved/' || page_id || '.html' ELSE path END AS path, CASE page_id % 7 WHEN 2 THEN size + 1 ELSE size END AS size, t FROM b WHERE page_id % 7 <> 0
+      UNION ALL SELECT 'new/' || page_id || '.html', size, t FROM b WHERE page_id % 11 = 0),
+    gone AS (SELECT *, count(*) OVER (PARTITION BY size, t) AS n FROM b WHERE path NOT IN (SELECT path FROM a)),
+    made AS (SELECT *, count(*) OVER (PARTITION BY size, t) AS n FROM a WHERE path NOT IN (SELECT path FROM b)),
+    moved AS (SELECT gone.path, made.path AS dest_path FROM gone JOIN made USING (size, t) WHERE gone.n = 1 AND made.n = 1)
+    SELECT path, 'moved' AS change_type, dest_path FROM moved
+    UNION ALL SELECT path, 'deleted', NULL FROM gone WHERE path NOT IN (SELECT path FROM moved)
+    UNION ALL SELECT path, 'created', NULL FROM made WHERE path NOT IN (SELECT dest_path FROM moved)
+    UNION ALL SELECT path, 'modified', NULL FROM a JOIN b USING (path) WHERE a.size <> b.size OR a.t <> b.t""",
+)
+def _(spark, sf):
+    """Two listings of a site, with files gone, renamed, changed and new, polled one after the other and read as a stream."""
+    file = "concat('site/', page_id, '.html')"
+    before = tables.table(spark, sf, "pages").selectExpr(f"{file} AS path", "bigint(length(url)) AS size_bytes", "timestamp_seconds(page_id div 2) AS last_modified", "page_id")
+    name = "CASE page_id % 7 WHEN 1 THEN concat('moved/', page_id, '.html') ELSE path END AS path"
+    after = before.filter("page_id % 7 <> 0").selectExpr(name, "size_bytes + int(page_id % 7 = 2) AS size_bytes", "last_modified")
+    after = after.union(before.filter("page_id % 11 = 0").selectExpr("concat('new/', page_id, '.html')", "size_bytes", "last_modified"))
+    source = listing.ListingSource(spark, f"{shared_dir(spark)}/listing-{tables.fresh_name()}")
+    for files in (before, after):
+        source.poll(files)
+    writer = source.changes().writeStream.format("parquet").option("path", f"{source.root}/out")
+    writer.option("checkpointLocation", f"{source.root}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{source.root}/out")
+    later = rows.agg(F.max("ts")).scalar()
+    return rows.filter(F.col("ts") == later).select("path", "change_type", "dest_path")
+
+
 @register("latest_changes", f"WITH {CHANGES} SELECT path, arg_max(change_type, ts) AS change_type FROM ch GROUP BY path")
 def _(spark, sf):
     return changes.latest_per_path(tables.change_events(spark, sf)).select("path", "change_type")

@@ -61,18 +61,22 @@ class ListingSource:
         self.store = Store(spark, f"{self.root}/listings")
 
     def _published(self) -> int:
-        done = [int(name) for name, _ in self.store._entries(f"{self.root}/changes")]
+        done = [int(name) for name, _ in self.store.entries(f"{self.root}/changes")]
         return max(done, default=0)
 
     def _publish(self) -> None:
-        for n in [n for n in self.store.numbers() if n > self._published()]:
+        published, last = self._published(), None
+        for n in self.store.finished():
+            last, previous = n, last
+            if n <= published:
+                continue
             at = self.store.snapshot(n)
             after = self.store.read("files", at)
-            before = self.store.read("files", self.store.snapshot(n - 1)) if n > 1 else after.limit(0)
+            before = self.store.read("files", self.store.snapshot(previous)) if previous else after.limit(0)
             staged = f"{self.root}/staged/{uuid.uuid4().hex}"
             listing_changes(before, after, F.lit(at.note["listed_at"])).write.parquet(staged)
-            fs, source = self.store._path(staged)
-            _, target = self.store._path(f"{self.root}/changes/{n:012d}")
+            fs, source = self.store.hadoop_path(staged)
+            _, target = self.store.hadoop_path(f"{self.root}/changes/{n:012d}")
             fs.mkdirs(target.getParent())
             if not fs.rename(source, target):
                 raise RuntimeError(f"changes of listing {n} could not be published")
@@ -91,7 +95,7 @@ class ListingSource:
 
     def changes(self, files_per_batch: int | None = None) -> DataFrame:
         """The published changes as a stream."""
-        fs, path = self.store._path(f"{self.root}/changes")
+        fs, path = self.store.hadoop_path(f"{self.root}/changes")
         fs.mkdirs(path)
         reader = self.spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true")
         if files_per_batch is not None:
