@@ -12,27 +12,42 @@ from kodagraf.runtime import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
+    """Documents that the adaptive quality rules keep.
+
+    Null, empty and short texts fail the base rules. Equal rows are judged alike and all stay or go.
+    """
     return quality.clean(docs)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that at least three of them hold, except in the largest doc_id."""
+    """All documents, without lines that at least three of them hold, except in the largest doc_id.
+
+    A null text stays null; a text without a line left is empty and stays. Rows that repeat a doc_id are one holder.
+    """
     return line_dedup.deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles overlap by 0.8 or more."""
+    """One document of each group whose five-word shingles overlap by 0.8 or more: the smallest doc_id.
+
+    Documents without words, null or empty, all stay. Of rows equal in doc_id and text one stays.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    Null and empty texts have no words and stay, as all documents do beside an empty benchmark. Equal rows stay or go together.
+    """
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number of tokens, and digests of ids and decoded text, of each document that is left."""
+    """The number of tokens, and digests of ids and decoded text, of each document that is left.
+
+    A null text is encoded as an empty one: no tokens. Equal rows repeat.
+    """
     return bpe.report(docs)
 
 
@@ -45,12 +60,15 @@ STAGES: list[tuple[str, Stage]] = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: SQL can express neither the tokens nor, in reasonable time, the join; tested against brute force.
+#: SQL can express neither the tokens nor, in reasonable time, the join; tests compare the rows with plain versions of the stages.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder."""
+    """All stages over ``documents``; each result is a table in the shared folder.
+
+    Whole texts of any length count in every stage, and an empty table goes through all of them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
