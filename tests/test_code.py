@@ -42,6 +42,38 @@ def test_calls_equal_trying_every_pair(make_units):
     assert triples(edges.call_edges(make_units(rows), scope="file")) == own
 
 
+def test_texts_do_not_travel_when_no_name_is_odd(make_units):
+    """Then the plan holds no words of texts but those before a bracket."""
+    plan = lambda names: edges.call_edges(make_units([unit(n, "f(x)", start=i) for i, n in enumerate(names)]))._jdf.queryExecution().analyzed().toString()
+    assert plan(["f", "g"]).count("Generate explode") == 1
+    assert plan(["f", "op<T>"]).count("Generate explode") == 2
+
+
+def test_many_odd_names_meet_in_a_shuffle(make_units, monkeypatch):
+    rows = [unit("src", "a<b> (1); c-d(2) e-f"), unit("a<b>", start=2), unit("c-d", start=3), unit("e-f", start=4)]
+    want = {("src", "a<b>"), ("src", "c-d")}
+    for limit in (100, 1):
+        monkeypatch.setattr(edges, "ODD_WORDS", limit)
+        got = {(s.rsplit(":", 1)[1], t.rsplit(":", 1)[1]) for s, t, _ in triples(edges.call_edges(make_units(rows)))}
+        assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_import_texts_resolve_as_by_trying_every_file(spark, make_units, seed):
+    """Paths with long common beginnings, texts of any length, dotted ones at the end."""
+    rng = random.Random(seed)
+    piece = lambda k: "".join(rng.choices("ab/é.", k=k))
+    files = sorted({f"{piece(rng.randrange(3))}{'aab/' * rng.randrange(4)}{piece(rng.randrange(1, 12))}" for _ in range(60)} - {""})
+    texts = sorted({piece(rng.randrange(1, 7)) for _ in range(150)} | {"", "b.a", "a.b.a", "nowhere"})
+    units = make_units([unit("u", path=f) for f in files])
+    asked = spark.createDataFrame([(t,) for t in texts], "path string")
+    got = {r.path: r.by_path for r in edges.resolve_imports(asked, units).collect()}
+    want = {t: next((f"{f}:u" for f in files if t and (t in f or f.endswith("/" + t.replace(".", "/")))), None) for t in texts}
+    assert got == want
+    plan = edges.resolve_imports(asked, units)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(file_path" not in plan and "Join" in plan  # only equalities: work does not grow with texts times files
+
+
 def test_implements(make_units):
     body = "class Inner(Base, pkg.Shape): pass\n implements Reader.Sub, Writer\n extends Closer {"
     faces = ["Shape", "Reader", "Writer", "Closer", "Base", "Inner", "Clos"]
