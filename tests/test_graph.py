@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kodagraf.operators import graph, modules
+from kodagraf.runtime import cut
 
 CHAIN = [("module_a/file1.py:func1", "module_b/file2.py:func2"), ("module_b/file2.py:func2", "module_c/file3.py:func3")]
 
@@ -111,6 +112,28 @@ def test_cycles_equal_brute_force(make_edges, seed):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_corners_of_triangles_hold_numbers(make_edges):
+    """Ids are long and corners many: on the way only numbers are joined, and the order of the ids decides as before."""
+    names = {f"n{i}": f"src/{'x' * (i % 5)}é{i}.py:f" for i in range(12)}
+    pairs = [(names[a], names[b]) for a, b in random_pairs(12, 60, 8) if a in names and b in names and a != b]
+    have = set(pairs)
+    want = {
+        c for c in itertools.permutations({n for p in pairs for n in p}, 3)
+        if c[0] == min(c, key=str.encode) and all(p in have for p in zip(c, (*c[1:], c[0])))
+    }
+    found = graph.triangles(graph.pairs(make_edges(pairs)))
+    rows = [tuple(r.cycle) for r in found.collect()]
+    assert sorted(rows) == sorted(want) and want
+
+
+def test_corner_columns_are_short(make_edges, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph, "cut", lambda df, tag: kept.append(df) or cut(df, tag))
+    graph.triangles(graph.pairs(make_edges([("a", "b"), ("b", "c"), ("c", "a")])))
+    turned = dict(kept[-1].dtypes)
+    assert turned["a"] == turned["b"] == "bigint"
+
+
 def test_cycles_without_bound(make_edges):
     ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
     two_rings = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "e")]
