@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,3 +369,30 @@ def test_config(tmp_path):
     for bad in [{"languages": []}, {"languages": ["cobol"]}, {"log_level": "loud"}, {"max_file_size": 1}]:
         with pytest.raises(ValueError):
             config.IndexConfig(**bad)
+
+
+def test_files_are_read_in_bounded_pieces(spark, monkeypatch):
+    """A worker hands on what it read every few rows or characters, however many files a batch has."""
+    text = "".join(f"def f{i}():\n    x = {i}\n" for i in range(40))
+    files = spark.createDataFrame([(f"a{i}.py", text, "python") for i in range(30)], "path string, content string, language string").coalesce(1)
+    want = {(f"a{i}.py", kind, 2 * j + 1) for i in range(30) for j in range(40) for kind in ["function"]}
+    for rows, chars in ((7, 10**9), (10**9, 100), (4096, 10**6)):
+        monkeypatch.setattr(extract, "ROWS_AT_ONCE", rows)
+        monkeypatch.setattr(extract, "CHARS_AT_ONCE", chars)
+        found = extract.find_constructs(files)
+        assert {tuple(r) for r in found.select("path", "construct", "line").collect() if r.construct == "function"} == want
+        assert found.count() == 2 * extract.extract_units(files).count() == 2400
+        assert extract.extract_outcomes(files).filter("outcome = 'indexed'").count() == 30
+    assert extract.extract_units(files.limit(0)).count() == 0
+
+
+def test_rows_held_at_a_time(spark, monkeypatch):
+    """What one batch of many files gives leaves the worker in pieces of at most so many rows."""
+    monkeypatch.setattr(extract, "ROWS_AT_ONCE", 50)
+    files = spark.createDataFrame([("a.py", "", "python")], "path string, content string, language string")
+    caught = []
+    monkeypatch.setattr(type(files.filter("true")), "mapInArrow", lambda self, scan, schema: caught.append(scan) or self)
+    extract.find_constructs(files)
+    batch = pa.RecordBatch.from_pydict({"path": [f"a{i}.py" for i in range(20)], "content": ["x = 1\n" * 30] * 20, "language": ["python"] * 20})
+    out = [b.num_rows for b in caught[0](iter([batch]))]
+    assert sum(out) == 600 and max(out) == 50

@@ -23,3 +23,10 @@ def test_registry():
 def test_query_agrees_with_its_sql(spark, name):
     ok, note = oracle_check.compare(spark, oracle_check.connect(SF), name, SF)
     assert ok, note
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+def test_order_files_keep_their_partitions(spark):
+    """Adaptive execution does not put the small partitions together before Python reads them."""
+    files = catalog.order_files(spark, SF)
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
