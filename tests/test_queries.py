@@ -1,3 +1,5 @@
+import itertools
+import random
 from pathlib import Path
 
 import pytest
@@ -30,3 +32,18 @@ def test_order_files_keep_their_partitions(spark):
     """Adaptive execution does not put the small partitions together before Python reads them."""
     files = catalog.order_files(spark, SF)
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_module_cycles_all_lists_every_elementary_cycle(spark, tmp_path):
+    """Of five modules, not only a shortest one through each edge."""
+    rng, sf = random.Random(3), str(tmp_path)
+    part = [(k, 1 + k % 50, "t", "b", "red box", 1.0) for k in range(5 * 128)]
+    spark.createDataFrame(part, "p_partkey long, p_size int, p_type string, p_brand string, p_name string, p_retailprice double").write.parquet(f"{sf}/part.parquet")
+    lines = [(rng.randrange(999), rng.randrange(640), rng.randrange(99), 1) for _ in range(22)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{sf}/lineitem.parquet")
+    have = {tuple(r) for r in catalog.QUERIES["module_edges"](spark, sf).collect()}
+    nodes = sorted({n for e in have for n in e})
+    paths = (p for k in range(2, 6) for p in itertools.permutations(nodes, k))
+    want = sorted(" > ".join(p) for p in paths if p[0] == min(p) and all(e in have for e in zip(p, (*p[1:], p[0]))))
+    assert any(w.count(">") == 4 for w in want)
+    assert sorted(r.cycle for r in catalog.QUERIES["module_cycles_all"](spark, sf).collect()) == want
