@@ -284,3 +284,29 @@ def test_degree_counts_edge_rows(make_edges, make_units):
     assert repomap.map_totals(units, rows).first().token_estimate == 56
     twice = make_edges([(f"u{i}", "t.py:func1", t) for i in range(3) for t in ("CALLS", "IMPORTS")])
     assert {r.id: round(r.score, 6) for r in repomap.boosted(scores, units, twice).collect()}["t.py:func1"] == 1.17
+
+
+@pytest.mark.parametrize("steps_per_edge", [0, 8])
+@pytest.mark.parametrize("seed,n,m", [(5, 12, 18), (6, 40, 60), (7, 25, 90)])
+def test_strong_members_equal_mutual_reachability(spark, monkeypatch, seed, n, m, steps_per_edge):
+    monkeypatch.setattr(graph, "_STEPS_PER_EDGE", steps_per_edge)
+    pairs = [p for p in random_pairs(n, m, seed) if p[0] != p[1]]
+    reach = {x: {d for s, d in pairs if s == x} for p in pairs for x in p}
+    for k, i in itertools.product(list(reach), list(reach)):
+        if k in reach[i]:
+            reach[i] |= reach[k]
+    want = {frozenset(y for y in reach[x] if x in reach[y]) for x in reach if x in reach[x]}
+    got = {}
+    for r in graph._strong_members(spark.createDataFrame(pairs, "src string, dst string")).collect():
+        got.setdefault(r.whole, set()).add(r.id)
+    assert {frozenset(g) for g in got.values()} == want
+
+
+def test_rounds_of_strong_components_do_not_grow_with_linked_cycles(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, tag: written.append(tag) or cut(df, tag))
+    way = [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
+    both = way + [(b, a) for a, b in way]
+    hop = spark.createDataFrame(both, "src string, dst string")
+    assert {(r.src, r.dst) for r in graph._within_components(hop).collect()} == set(both)
+    assert len(written) < 40  # not a round for every step along the way
