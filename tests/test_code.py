@@ -396,3 +396,19 @@ def test_rows_held_at_a_time(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"path": [f"a{i}.py" for i in range(20)], "content": ["x = 1\n" * 30] * 20, "language": ["python"] * 20})
     out = [b.num_rows for b in caught[0](iter([batch]))]
     assert sum(out) == 600 and max(out) == 50
+
+
+@pytest.mark.parametrize("scope", ["repo", "file"])
+def test_calls_are_made_distinct_where_they_were_joined(spark, make_units, scope):
+    units = make_units([
+        ("a.py:f", "FUNCTION", 1, 2, "", "g(1) x.g(2) T.m() f() .g()", None),
+        ("a.py:f", "FUNCTION", 1, 2, "", "g(1)", None),
+        ("a.py:g", "FUNCTION", 3, 4, "", "require('x')", None),
+        ("b.py:g", "FUNCTION", 1, 2, "", "", None),
+        ("b.py:T.m", "METHOD", 1, 2, "", "T.m()", None),
+    ])
+    found = edges.call_edges(units, scope)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # words and names, and nothing after their join
+    want = {("a.py:f", "a.py:g")} | ({("a.py:f", "b.py:g"), ("a.py:f", "b.py:T.m")} if scope == "repo" else set())
+    assert sorted((r.source_id, r.target_id) for r in found.collect()) == sorted(want)
