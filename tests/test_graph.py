@@ -310,3 +310,13 @@ def test_rounds_of_strong_components_do_not_grow_with_linked_cycles(spark, monke
     hop = spark.createDataFrame(both, "src string, dst string")
     assert {(r.src, r.dst) for r in graph._within_components(hop).collect()} == set(both)
     assert len(written) < 40  # not a round for every step along the way
+
+
+def test_components_shuffle_numbers_and_keep_self_edges(spark, make_edges, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, tag: written.append((tag, dict(df.dtypes))) or cut(df, tag))
+    e = make_edges([("b", "c"), ("b", "c"), ("c", "a"), ("x", "x"), ("a", "a"), ("z", "y"), (None, "q"), (None, None)])
+    assert sorted((r.id, r.component) for r in graph.components(e).collect()) == [
+        ("a", "a"), ("b", "a"), ("c", "a"), ("q", "q"), ("x", "x"), ("y", "y"), ("z", "y")
+    ]
+    assert {t for tag, cols in written if tag == "components" for t in cols.values()} == {"bigint"}
