@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kodagraf.functions import globs, ids, languages, scoring, text
+from kodagraf.functions import fuzzy, globs, ids, languages, scoring, text
 from kodagraf.functions.fuzzy import nearest_in_block, nearest_names
 from kodagraf.functions.skeletons import skeleton_text
 from kodagraf.params import BuildConfig, within
@@ -92,6 +92,43 @@ def test_nearest_names_equal_brute_force(spark):
         assert [r.name for r in sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank)] == [x for _, x in best(query, 5)]
 
 
+def test_nearest_names_compare_few_pairs(monkeypatch):
+    """Letters in the same order rule out most names that have all letters of a long request."""
+    firsts, seconds = "large hot blue old cold red".split(), "ring bolt plate gear box".split()
+    names = [f"{a}_{b}_{t}" for a in firsts for b in seconds for t in range(97)]
+    queries = pd.DataFrame({"query_id": [0, 1], "query": ["Refactor `hot_gear_17` to call `old_ring_3`", "Refactor `blue_box_5` to call `red_bolt_61`"]})
+    seen, whole = [], fuzzy.matched
+
+    def count(letters, lengths, *rest):
+        seen.append(len(lengths))
+        return whole(letters, lengths, *rest)
+
+    monkeypatch.setattr(fuzzy, "matched", count)
+    block = nearest_in_block(queries, names, 20, 0.3)
+    assert sum(seen) < 0.3 * len(names) * len(queries)
+    for i, query in enumerate(queries["query"]):
+        want = sorted(((difflib.SequenceMatcher(None, n, query).ratio(), n) for n in names), reverse=True)[:20]
+        assert sorted(zip(block[block.query_id == i]["ratio"], block[block.query_id == i]["name"]), reverse=True) == want
+        floor = want[4][0]
+        least = nearest_in_block(queries[queries.query_id == i].assign(floor=floor), names, 20, 0.3)
+        assert set(least["name"]) == {n for r, n in want if r >= floor}
+
+
+def test_nearest_names_in_rounds_of_blocks(spark):
+    """Later blocks add to the best of the first ones; null names, equal requests and null keys do no harm."""
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choices("abcDe_12", k=rng.randint(1, 14))) for _ in range(400)})
+    rows = [(1, "abc_12De"), (2, "a" * 70 + "bc_12"), (None, "De_De_1"), (4, "abc_12De"), (5, "b" * 210)]
+    q = spark.createDataFrame(rows, "query_id bigint, query string")
+    n = spark.createDataFrame([(x,) for x in [*names, None]], "name string")
+    got = nearest_names(q, n, 6, cutoff=0.2, names_per_block=12, queries_per_block=2).collect()
+    for key, query in rows:
+        scored = sorted(((difflib.SequenceMatcher(None, x, query).ratio(), x) for x in names), reverse=True)
+        mine = sorted((r for r in got if r.query_id == key), key=lambda r: r.rank)
+        assert [r.name for r in mine] == [x for r, x in scored if r >= 0.2][:6]
+        assert [r.score for r in mine] == [difflib.SequenceMatcher(None, query.lower(), r.name.lower()).ratio() for r in mine]
+
+
 PY = '''import os
 
 @cache
