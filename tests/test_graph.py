@@ -1,3 +1,4 @@
+import glob
 import itertools
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kodagraf.operators import graph, modules
-from kodagraf.runtime import cut
+from kodagraf.runtime import cut, shared_dir
 
 CHAIN = [("module_a/file1.py:func1", "module_b/file2.py:func2"), ("module_b/file2.py:func2", "module_c/file3.py:func3")]
 
@@ -320,3 +321,20 @@ def test_components_shuffle_numbers_and_keep_self_edges(spark, make_edges, monke
         ("a", "a"), ("b", "a"), ("c", "a"), ("q", "q"), ("x", "x"), ("y", "y"), ("z", "y")
     ]
     assert {t for tag, cols in written if tag == "components" for t in cols.values()} == {"bigint"}
+
+
+@pytest.mark.parametrize("hub_rows", [1_000_000, 2])
+def test_pagerank_with_repeated_edges_and_ends_without_an_id(make_edges, hub_rows):
+    """A repeated pair counts once, an end without an id counts in the degree and as a node; pairs of texts are not written."""
+    rows = [("a", "b", t) for t in "xyzw"] + [("a", None), ("a", None, "y"), ("b", "c"), ("c", "a"), (None, "c"), ("d", "c")]
+    edges = make_edges(rows)
+    tables = set(glob.glob(f"{shared_dir(edges.sparkSession)}/pagerank-pairs-*"))
+    got = {r.id: r.score for r in graph.pagerank(edges, max_iter=6, tol=None, hub_rows=hub_rows).collect()}
+    pairs = {(r[0], r[1]) for r in rows}
+    nodes = {x for p in pairs for x in p}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(6):
+        part = {v: want[v] / max(1, sum(p[0] == v for p in pairs)) for v in nodes}
+        want = {v: 0.15 / len(nodes) + 0.85 * sum(part[s] for s, t in pairs if t == v and None not in (s, t)) for v in nodes}
+    assert got == pytest.approx(want)
+    assert set(glob.glob(f"{shared_dir(edges.sparkSession)}/pagerank-pairs-*")) == tables
