@@ -2,9 +2,11 @@ import glob
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kodagraf.functions import meeting
 from kodagraf.operators import graph, modules
 from kodagraf.runtime import cut, shared_dir
 
@@ -167,6 +169,52 @@ def test_a_shortest_cycle_of_each_edge(make_edges, seed, n, m):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def least_back(pairs, s, t):
+    """The least shortest way from t to s, by looking at all ways of each length."""
+    after, ways = {}, [(t,)]
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    while not any(w[-1] == s for w in ways):
+        ways = [(*w, x) for w in ways for x in after.get(w[-1], ()) if x not in w]
+    return min(w for w in ways if w[-1] == s)
+
+
+def test_ways_back_meet_in_cells(make_edges, monkeypatch):
+    """Open edges and paths are dealt to many cells, in which no pair of an edge and a path is more than looked up."""
+    monkeypatch.setattr(graph, "_CELL_PATHS", 60)
+    monkeypatch.setattr(graph, "_CELL_EDGES", 15)
+    rng = random.Random(11)
+    pairs = sorted({(f"n{i:02}", f"n{(i + rng.choice((1, 2, 3, 4))) % 20:02}") for i in range(20) for _ in range(3)})
+    cells = []
+    monkeypatch.setattr(graph, "_met", lambda *a, met=graph._met: cells.append(cut(met(*a), "met")) or cells[-1])
+    rows = [tuple(r.cycle) for r in graph.cycles(make_edges(pairs)).collect()]
+    want = set()
+    for s, t in pairs:
+        way = least_back(pairs, s, t)
+        at = way.index(min(way))
+        want.add(way[at:] + way[:at])
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert any(c.groupBy("s", "t").count().filter("count > 1").count() for c in cells)
+
+
+@pytest.mark.parametrize("lookups", [1, 7, 1 << 22])
+def test_least_ways(monkeypatch, lookups):
+    monkeypatch.setattr(meeting, "_LOOKUPS", lookups)
+    rng = np.random.default_rng(5)
+    ahead = np.unique(rng.integers(0, 12, (60, 3)), axis=0)
+    ahead = ahead[np.unique(ahead[:, :2], axis=0, return_index=True)[1]].T  # one path for each owner and middle node
+    behind = np.unique(rng.integers(0, 12, (40, 2)), axis=0).T
+    s, t = rng.integers(0, 14, (2, 50))
+    want = {}
+    for e in range(50):
+        ways = [(p, x) for o, x, p in ahead.T.tolist() if o == t[e] and [s[e], x] in behind.T.tolist()]
+        if ways:
+            want[e] = min(ways)
+    which, way = meeting.least_ways(list(ahead), list(behind), s, t)
+    assert {int(e): tuple(int(c[i]) for c in way) for i, e in enumerate(which)} == want and want
+    assert len(meeting.least_ways(list(ahead), [c[:0] for c in behind], s, t)[0]) == 0
+
+
 def test_pairs_within_strong_components(make_edges):
     pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e"), ("x", "a"), ("f", "y")]
     hop = graph._within_components(graph.pairs(make_edges(pairs)))
