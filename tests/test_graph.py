@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kodagraf.functions import meeting
+from kodagraf.functions import corners, meeting
 from kodagraf.operators import graph, modules
 from kodagraf.runtime import cut, shared_dir
 
@@ -137,6 +137,48 @@ def test_corner_columns_are_short(make_edges, monkeypatch):
     assert turned["a"] == turned["b"] == "bigint"
 
 
+@pytest.mark.parametrize("sparse,edges_a_cell,digest", [(32, 8_000_000, F.xxhash64), (0, 40, F.length), (1000, 40, F.xxhash64)])
+def test_triangles_in_cells_equal_trying_every_one(make_edges, monkeypatch, sparse, edges_a_cell, digest):
+    """Found by lookups and by tables, in one cell and in many; ids that share a hash, repeated edges and edges without an end."""
+    monkeypatch.setattr(corners, "_SPARSE", sparse)
+    monkeypatch.setattr(graph, "_TRIANGLE_EDGES", edges_a_cell)
+    monkeypatch.setattr(graph, "_digest", lambda c: digest(c))
+    pairs = random_pairs(30, 300, 7)
+    hub = [("n5", f"n{i}") for i in range(30)] + [(f"n{i}", "n5") for i in range(30)]
+    have = {p for p in (*pairs, *hub) if p[0] != p[1]}
+    nodes = sorted({x for p in have for x in p})
+    want = {c for c in itertools.permutations(nodes, 3) if c[0] == min(c) and all(p in have for p in zip(c, (*c[1:], c[0])))}
+    want |= {p for p in have if p[0] < p[1] and p[::-1] in have}
+    rows = [tuple(r.cycle) for r in graph.cycles(make_edges([*pairs, *hub, *pairs[:50], ("n1", None), (None, "n2")]), 3).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_neither_corners_nor_triangles_travel(make_edges):
+    """Only packed edges are dealt to cells; what closes there gets its ids without a shuffle."""
+    plan = graph.triangles(graph.pairs(make_edges(random_pairs(20, 100, 3))))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in plan[: plan.index("MapInArrow")].replace("BroadcastExchange", "")
+    assert below.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("lookups", [1, 50, 1 << 20])
+@pytest.mark.parametrize("wide", [False, True])
+def test_thirds_of_packed_edges(monkeypatch, lookups, wide):
+    monkeypatch.setattr(corners, "_LOOKUPS", lookups)
+    monkeypatch.setattr(corners, "_PACKED", 7)
+    rng = np.random.default_rng(2)
+    sides = [np.unique(rng.integers(0, 12, (60, 2)), axis=0) for _ in range(3)]
+    want = {(u, v, w) for u, v in sides[0].tolist() for w in range(12) if [v, w] in sides[1].tolist() and [w, u] in sides[2].tolist()}
+    first, second, third = (corners.unpacked(list(corners.packed(tuple(s[::-1].T), wide)), wide) for s in sides)
+    for sparse in (0, 1000):
+        monkeypatch.setattr(corners, "_SPARSE", sparse)
+        got = []
+        for edge, count, w in corners.thirds(first, second, third):
+            each = np.repeat(edge, count)
+            got += zip(first[0][each].tolist(), first[1][each].tolist(), w.tolist())
+        assert sorted(got) == sorted(want) and want
+
+
 def test_cycles_without_bound(make_edges):
     ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
     two_rings = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "e")]
