@@ -1,12 +1,14 @@
 import glob
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kodagraf.functions import corners, meeting
+from kodagraf.functions import corners, meeting, packing
 from kodagraf.operators import graph, modules
 from kodagraf.runtime import cut, shared_dir
 
@@ -165,11 +167,11 @@ def test_neither_corners_nor_triangles_travel(make_edges):
 @pytest.mark.parametrize("wide", [False, True])
 def test_thirds_of_packed_edges(monkeypatch, lookups, wide):
     monkeypatch.setattr(corners, "_LOOKUPS", lookups)
-    monkeypatch.setattr(corners, "_PACKED", 7)
+    monkeypatch.setattr(packing, "_PACKED", 7)
     rng = np.random.default_rng(2)
     sides = [np.unique(rng.integers(0, 12, (60, 2)), axis=0) for _ in range(3)]
     want = {(u, v, w) for u, v in sides[0].tolist() for w in range(12) if [v, w] in sides[1].tolist() and [w, u] in sides[2].tolist()}
-    first, second, third = (corners.unpacked(list(corners.packed(tuple(s[::-1].T), wide)), wide) for s in sides)
+    first, second, third = (packing.unpacked(list(packing.packed(tuple(s[::-1].T), wide)), wide) for s in sides)
     for sparse in (0, 1000):
         monkeypatch.setattr(corners, "_SPARSE", sparse)
         got = []
@@ -257,6 +259,38 @@ def test_least_ways(monkeypatch, lookups):
     assert len(meeting.least_ways(list(ahead), [c[:0] for c in behind], s, t)[0]) == 0
 
 
+def test_memory_of_a_cell():
+    """Paths are held as narrow numbers and edges packed; what is made of them on the way is bounded."""
+    rng = np.random.default_rng(3)
+    n, n_paths, n_edges = 2000, 400_000, 600_000
+    rows = [(0, meeting.AHEAD if i % 2 else meeting.BEHIND, None, *rng.integers(0, n, 3)) for i in range(1000)]
+    columns = [list(c) for c in zip(*rows)]
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["cell", "kind", "edges", "owner", "x", "p0"]
+    ends = rng.integers(0, n, (2, n_edges))
+
+    def batches():
+        for low in range(0, n_paths, 1000):
+            fresh = [pa.array(rng.integers(0, n, 1000)) for _ in range(3)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:3], types)), *fresh], names)
+        for row in packing.packed(tuple(ends), False):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((0, meeting.EDGES, row, 0, 0, 0), types)], names)
+
+    tracemalloc.start()
+    found = sum(b.num_rows for b in meeting.met_in_cells(batches(), 1, 0, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 120_000_000
+
+
+def test_cells_of_ways_are_partitions(make_edges):
+    """No cell is sorted or gathered as a group, and its edges come packed."""
+    step = graph._numbered(graph.pairs(make_edges(random_pairs(20, 100, 3))).filter("src <> dst"))[2].toDF("s", "t")
+    met = graph._met(step, step.toDF("x", "t"), step.toDF("s", "x"), False)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Sort " not in plan and plan.count("MapInArrow") == 2
+
+
 def test_pairs_within_strong_components(make_edges):
     pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e"), ("x", "a"), ("f", "y")]
     hop = graph._within_components(graph.pairs(make_edges(pairs)))
