@@ -412,3 +412,41 @@ def test_calls_are_made_distinct_where_they_were_joined(spark, make_units, scope
     assert plan.count("Exchange hashpartitioning") == 2  # words and names, and nothing after their join
     want = {("a.py:f", "a.py:g")} | ({("a.py:f", "b.py:g"), ("a.py:f", "b.py:T.m")} if scope == "repo" else set())
     assert sorted((r.source_id, r.target_id) for r in found.collect()) == sorted(want)
+
+
+def test_call_words_equal_cutting_every_run(spark):
+    """The pieces of a run are found by one search, and give the words that cutting the runs gave."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b1", "_", ".", "$", " ", "(", ")", "\n", "é", "\u0301", "=", "\U0001d4d0"]) for _ in range(40)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "a.b$c (x) ..d(", None]], "text string")
+    text = F.col("text")
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?U)({edges.RUN})\s*\("), F.lit(1)))
+    cut_up = F.array_distinct(F.flatten(F.transform(runs, edges._suffixes)))
+    got = rows.select(
+        F.array_sort(edges._call_words(text)).alias("words"), F.array_sort(cut_up).alias("want"),
+        F.array_sort(edges._call_words(text, plain=True)).alias("plain"), F.array_sort(F.filter(cut_up, lambda w: w.rlike(edges.PLAIN))).alias("want_plain"),
+    ).collect()
+    assert all(r.words == r.want and r.plain == r.want_plain for r in got) and any(len(r.want or ()) > 3 for r in got)
+
+
+def test_what_is_kept_is_found_once(spark, make_units, monkeypatch):
+    """Changes read the units and the import texts after them from tables: neither is joined with the changed files again for each use."""
+    tags = []
+    monkeypatch.setattr(edges, "cut", lambda df, tag, cut=edges.cut: tags.append(tag) or cut(df, tag))
+    units = make_units([unit(f"f{i}", f"f{(i * 7) % 20}(x)\nimport f{i % 5}", path=f"src/m{i % 6}.py") for i in range(20)])
+    touched = spark.createDataFrame([("src/m1.py",), ("src/m2.py",)], "path string")
+    fresh = make_units([unit("f1", "f3(y)", path="src/m1.py"), unit("g", "f4(y)", path="src/m1.py")])
+    after, changed, refs = index.replace_units(units, edges.build_edges(units), edges.references(units), touched, fresh)
+    assert tags.count("import-refs") == tags.count("units-after") == 1
+    assert triples(changed) == triples(edges.build_edges(after))
+    assert sorted(map(tuple, refs.collect())) == sorted(map(tuple, edges.references(after).select(*refs.columns).collect()))
+
+
+def test_edges_of_all_types_are_not_shuffled_together(make_units):
+    """Each type is a set already; repeated units and texts that name a callee twice give no edge twice."""
+    rows = [unit("f", "g(x) a.g(y) import lib\nfrom lib import g"), unit("g", "f(1)\nimport a"), unit("I", kind="INTERFACE"), unit("C", "class C implements I, extends I", kind="CLASS")]
+    found = edges.build_edges(make_units([*rows, *rows]))
+    listed = [tuple(r) for r in found.collect()]
+    assert len(listed) == len(set(listed)) and {r[2] for r in listed} == {"CALLS", "DEFINES", "IMPLEMENTS", "IMPORTS"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
